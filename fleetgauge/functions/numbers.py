@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,17 @@ def exact(value: Column, scale: int = 2) -> Column:
 
 def ratio(num: Column, den: Column, scale: int = 2, times: int = 1,
           zero: int | None = None) -> Column:
-    """`num * times / den` rounded half up; NULL (or `zero`) on a zero denominator."""
-    q = F.try_divide((num * F.lit(times)).cast("decimal(38,8)"), den.cast("decimal(30,4)"))
-    q = q.cast(f"decimal(18,{scale})")
+    """`num * times / den` rounded half up; NULL (or `zero`) on a zero denominator.
+
+    Rounded from the remainder, so the result is that of exact arithmetic (inputs keep
+    four decimals).
+    """
+    n = F.abs((num * F.lit(times)).cast("decimal(30,4)") * F.lit(10 ** scale))
+    d = F.abs(den.cast("decimal(30,4)"))
+    rest = F.try_mod(n, d)
+    whole = F.try_divide(n - rest, d).cast("decimal(37,0)") + F.when(rest * 2 >= d, 1).otherwise(0)
+    q = whole.cast("decimal(37,0)") * F.lit(Decimal(1).scaleb(-scale)) * F.when((num < 0) != (den < 0), -1).otherwise(1)
+    q = F.when(den != 0, q).cast(f"decimal(18,{scale})")
     return q if zero is None else F.when(den == 0, F.lit(zero)).otherwise(q).cast(f"decimal(18,{scale})")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import flag
+from fleetgauge.functions.numbers import ratio
 from fleetgauge.operators.skew import salted_join
 
 ROWS = F.count(F.lit(1))
@@ -119,7 +120,7 @@ def blocking(sessions: DataFrame, key: str, blocker: str, wait_ms: str, detail:
     totals = (blocked.groupBy(*by, blocker).agg(ROWS.alias("n"), F.max(wait_ms).alias("mx"), F.sum(wait_ms).alias("total"))
               .groupBy(*by).agg(ROWS.alias("direct_blockers"), F.sum("n").alias("blocked_sessions"),
                                 (F.max("mx") / 1000).cast("decimal(18,3)").alias("max_wait_sec"),
-                                (F.sum("total") / F.sum("n") / 1000).cast("decimal(18,3)").alias("avg_wait_sec")))
+                                ratio(F.sum("total"), F.sum("n") * 1000, 3).alias("avg_wait_sec")))
     return Blocking(rows, totals)
 
 
