@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.bindings.registry import EVENTS_NOW, ORDERS_NOW, bind, cents, half_up, money
-from fleetgauge.functions.numbers import exact
+from fleetgauge.functions.numbers import exact, row_count
 from fleetgauge.functions.times import before
 from fleetgauge.operators import aggregates as agg
 from fleetgauge.operators import ranking
 
-ROWS = F.count(F.lit(1))
-
 
 def _cents(column):
     return F.round(F.col(column) * 100).cast("bigint")
@@ -175,12 +173,15 @@ def agg17b(t):
 
 
 _LINE = "l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
-_LINE_ORDER = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _line_order():
+    return [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @bind("top1_top_k", f"SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY {_LINE} LIMIT 20")
 def top1(t):
-    return ranking.top_k(t.lineitem, _LINE_ORDER, 20).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return ranking.top_k(t.lineitem, _line_order(), 20).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
 @bind("top2_top_k_per", f"""
@@ -188,7 +189,7 @@ SELECT l_suppkey, l_orderkey, l_linenumber, {cents('l_extendedprice')} * CAST(l_
   SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {cents('l_extendedprice')} * CAST(l_quantity AS BIGINT) DESC, {_LINE.replace('l_extendedprice DESC, ', '')}) AS rn FROM lineitem) WHERE rn <= 5""")
 def top2(t):
     rows = t.lineitem.withColumn("total_cost", _cents("l_extendedprice") * F.col("l_quantity").cast("bigint"))
-    order = [F.desc("total_cost"), *_LINE_ORDER[1:]]
+    order = [F.desc("total_cost"), *_line_order()[1:]]
     return ranking.top_k_per(rows, ["l_suppkey"], order, 5).select("l_suppkey", "l_orderkey", "l_linenumber", "total_cost", "rn")
 
 
@@ -205,5 +206,5 @@ SELECT l_suppkey, user_net, internal_net, user_net + internal_net AS total_net,
 WHERE user_net + internal_net > 0 ORDER BY total_net DESC, l_suppkey LIMIT 20""")
 def top4(t):
     n = F.col("l_linenumber")
-    use = t.lineitem.groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("ua"), F.sum(n * 3).alias("ud"), F.sum(n * 4).alias("ia"), (ROWS * 20).alias("id"))
+    use = t.lineitem.groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("ua"), F.sum(n * 3).alias("ud"), F.sum(n * 4).alias("ia"), (row_count() * 20).alias("id"))
     return ranking.net_top(use, ["l_suppkey"], ("ua", "ud"), ("ia", "id")).drop("ua", "ud", "ia", "id")

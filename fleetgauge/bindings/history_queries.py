@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.bindings.registry import EVENTS_NOW, ORDERS_NOW, bind, cents, half_up
-from fleetgauge.functions.numbers import exact
+from fleetgauge.functions.numbers import exact, row_count
 from fleetgauge.operators import windows
 from fleetgauge.operators.aggregates import count_by
 
-ROWS = F.count(F.lit(1))
 EV = ["ts", "event_id"]
 
 _GAPS = """(SELECT *, lag(ts) OVER w AS previous, date_diff('minute', lag(ts) OVER w, ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""

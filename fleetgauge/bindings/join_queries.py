@@ -6,13 +6,11 @@ from pyspark.sql import functions as F
 
 from fleetgauge.bindings.registry import bind, cents, half_up, money
 from fleetgauge.functions.labels import flag
-from fleetgauge.functions.numbers import exact, ratio
+from fleetgauge.functions.numbers import exact, ratio, row_count
 from fleetgauge.operators import joins
 from fleetgauge.operators.aggregates import count_by
 from fleetgauge.operators.overlap import signature
 
-ROWS = F.count(F.lit(1))
-
 
 @bind("joi1_attach", f"""
 SELECT n_name, c_mktsegment, o_orderstatus, count(*) AS rows, CAST(sum({money('l_extendedprice')}) AS DOUBLE) AS revenue
@@ -74,7 +72,7 @@ SELECT s_suppkey, {half_up('total', '100 * n')} AS mean_balance, n AS suppliers,
 FROM supplier, (SELECT CAST(sum({cents('s_acctbal')}) AS BIGINT) AS total, count(*) AS n FROM supplier)""")
 def joi8(t):
     b = exact(F.col("s_acctbal"))
-    rows = joins.attach_scalar(t.supplier, t.supplier.agg(ratio(F.sum(b), ROWS).alias("mean_balance"), ROWS.alias("suppliers"), F.sum(b).alias("_sum")))
+    rows = joins.attach_scalar(t.supplier, t.supplier.agg(ratio(F.sum(b), row_count()).alias("mean_balance"), row_count().alias("suppliers"), F.sum(b).alias("_sum")))
     return rows.select("s_suppkey", "mean_balance", "suppliers", flag(b * F.col("suppliers") > F.col("_sum")).alias("flag_above"))
 
 

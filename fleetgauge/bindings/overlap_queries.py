@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from fleetgauge.bindings.registry import bind
 from fleetgauge.operators import overlap
 
-ROWS = F.count(F.lit(1))
-
 
 def _lines(t):
     return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))

@@ -9,8 +9,6 @@ from fleetgauge.functions.numbers import exact
 from fleetgauge.operators import reporting as rep
 from fleetgauge.operators.aggregates import count_by, with_total
 
-ROWS = F.count(F.lit(1))
-
 
 @bind("dat1_age_report", f"""
 SELECT user_id, max(ts) AS last_event, date_diff('hour', max(ts), TIMESTAMP '{EVENTS_NOW}') AS age, CASE WHEN date_diff('hour', max(ts), TIMESTAMP '{EVENTS_NOW}') <= 6 THEN 'FRESH'
@@ -19,7 +17,7 @@ def dat1(t):
     return rep.age_report(t.events, ["user_id"], "ts", EVENTS_NOW, "hour", [(6, "FRESH"), (24, "DAY")], "OLD")
 
 
-_PACK = """(SELECT o_orderkey, o_custkey, o_orderdate + to_seconds(o_orderkey % 86400) AS at, (o_orderkey % 90000) AS sec FROM orders)"""
+_PACK = """(SELECT o_orderkey, o_custkey, o_orderdate + to_seconds(o_orderkey % 86400) AS run_at, (o_orderkey % 90000) AS sec FROM orders)"""
 
 
 def _packed(t):
@@ -29,12 +27,12 @@ def _packed(t):
     return t.orders.select("o_orderkey", "o_custkey", day.alias("run_date"), hms(sec).alias("run_time"), hms(F.col("o_orderkey") % 90000).alias("run_duration"))
 
 
-@bind("dat3_packed_runs", f"SELECT o_orderkey, at AS run_at, sec AS duration_sec FROM {_PACK}")
+@bind("dat3_packed_runs", f"SELECT o_orderkey, run_at, sec AS duration_sec FROM {_PACK}")
 def dat3(t):
     return rep.packed_runs(_packed(t), ["o_custkey"], "run_date", "run_time", "run_duration").runs.select("o_orderkey", "run_at", "duration_sec")
 
 
-@bind("dat3_packed_runs_per_day", f"SELECT o_custkey, CAST(at AS DATE) AS run_day, count(*) AS runs, CAST(sum(sec) AS BIGINT) AS seconds FROM {_PACK} GROUP BY 1, 2")
+@bind("dat3_packed_runs_per_day", f"SELECT o_custkey, CAST(run_at AS DATE) AS run_day, count(*) AS runs, CAST(sum(sec) AS BIGINT) AS seconds FROM {_PACK} GROUP BY 1, 2")
 def dat3d(t):
     return rep.packed_runs(_packed(t), ["o_custkey"], "run_date", "run_time", "run_duration").per_day
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetgauge.bindings.registry import EVENTS_NOW, ORDERS_NOW, bind, cents, half_up, money
-from fleetgauge.functions.numbers import exact, int_div
+from fleetgauge.functions.numbers import exact, int_div, row_count
 from fleetgauge.operators import rules
 from fleetgauge.operators.aggregates import count_by
 
-ROWS = F.count(F.lit(1))
-
 
 @bind("rul1_apply_rules", """
 SELECT c_nationkey, count(*) AS rows, count(*) FILTER (WHERE o_totalprice > 400000) AS flag_large,
@@ -58,7 +56,7 @@ SELECT l_suppkey, l_returnflag, latency, lim AS class_limit, CASE WHEN latency >
          CASE l_returnflag WHEN 'A' THEN 38000 WHEN 'R' THEN 39000 END AS lim FROM lineitem GROUP BY 1, 2)""")
 def rul3(t):
     lat = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(
-        int_div(F.sum(exact(F.col("l_extendedprice"))) * 100, ROWS * 100).alias("latency"))
+        int_div(F.sum(exact(F.col("l_extendedprice"))) * 100, row_count() * 100).alias("latency"))
     return rules.class_threshold(lat, "l_returnflag", {"A": 38000, "R": 39000}, F.col("latency"))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def exact(value: Column, scale: int = 2) -> Column:
     """A decimal copy; cast before summing so that sums are exact."""
     return value.cast(f"decimal(18,{scale})")

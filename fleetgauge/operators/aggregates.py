@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import band, flag
-from fleetgauge.functions.numbers import exact, int_div, percent, ratio
+from fleetgauge.functions.numbers import exact, int_div, percent, ratio, row_count
 from fleetgauge.functions.times import before
 from fleetgauge.operators.joins import attach_scalar
 from fleetgauge.operators.skew import attach_group
 
-ROWS = F.count(F.lit(1))
-
 
 def count_if(cond: Column) -> Column:
     return F.sum(flag(cond))
@@ -25,7 +23,7 @@ def status_counts(df: DataFrame, keys: Sequence[str], status: str, codes: Mappin
                   failed: str) -> DataFrame:
     """Runs per status and the failure share in percent."""
     counted = df.groupBy(*keys).agg(
-        ROWS.alias("total_runs"), *[count_if(F.col(status) == v).alias(n) for n, v in codes.items()])
+        row_count().alias("total_runs"), *[count_if(F.col(status) == v).alias(n) for n, v in codes.items()])
     return counted.withColumn("failure_ratio_pct", percent(F.col(failed), F.col("total_runs")))
 
 
@@ -36,7 +34,7 @@ def age_buckets(df: DataFrame, keys: Sequence[str], ts: str, as_of, edges: Seque
     marks = [before(as_of, days=d) for d in edges]
     names = [f"last_{edges[0]}d"] + [f"day_{a + 1}_to_{b}" for a, b in zip(edges, edges[1:])] + [f"day_{edges[-1] + 1}_plus"]
     conds = [t >= marks[0]] + [(t < a) & (t >= b) for a, b in zip(marks, marks[1:])] + [t < marks[-1]]
-    out = df.groupBy(*keys).agg(*[count_if(c).alias(n) for n, c in zip(names, conds)], ROWS.alias("total"))
+    out = df.groupBy(*keys).agg(*[count_if(c).alias(n) for n, c in zip(names, conds)], row_count().alias("total"))
     return out.withColumn("flag_excessive", flag(F.col(names[0]) > excess))
 
 
@@ -51,7 +49,7 @@ def total_row(df: DataFrame, tasks: Column, total: Column, signal: Column, longe
 
 def with_total(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Groups and a total row with NULL keys; the total is taken from the groups."""
-    details = df.groupBy(*keys).agg(ROWS.alias("rows"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()])
+    details = df.groupBy(*keys).agg(row_count().alias("rows"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()])
     return (details.groupingSets([list(keys), []], *keys)
             .agg(F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in (sums or {})]))
 
@@ -65,7 +63,7 @@ def hourly(df: DataFrame, ts: str, as_of, total: Column, runs: Column, hours: in
     """Activity per hour. The mean per run divides whole numbers row by row first."""
     return (df.filter(F.col(ts) >= before(as_of, hours=hours))
             .groupBy(hour_of(F.col(ts)).alias("hour"))
-            .agg(ROWS.alias("entries"), F.sum(total).alias("total"), F.sum(runs).alias("runs"),
+            .agg(row_count().alias("entries"), F.sum(total).alias("total"), F.sum(runs).alias("runs"),
                  ratio(F.sum(int_div(total, runs)), F.count(int_div(total, runs))).alias("mean_per_run"))
             .orderBy(F.desc("hour")).limit(newest))
 
@@ -73,7 +71,7 @@ def hourly(df: DataFrame, ts: str, as_of, total: Column, runs: Column, hours: in
 def category_impact(df: DataFrame, category: str, total: Column, plan: str, query: str) -> DataFrame:
     """Totals and exact distinct plans and queries per category; reduced before the distinct counts."""
     reduced = (df.filter(total > 0).groupBy(category, plan, query)
-               .agg(F.sum(total).alias("t"), ROWS.alias("n")))
+               .agg(F.sum(total).alias("t"), row_count().alias("n")))
     return reduced.groupBy(category).agg(
         F.sum("t").alias("total"), ratio(F.sum("t"), F.sum("n")).alias("mean"),
         F.countDistinct(plan).alias("plans"), F.countDistinct(query).alias("queries"))
@@ -95,7 +93,7 @@ def variant_spread(df: DataFrame, keys: Sequence[str], variant: str, metric: Col
     """Groups with several variants: best, worst and their quotient."""
     rows = df if ts is None else df.filter(F.col(ts) >= before(as_of, days=days))
     small = rows.groupBy(*keys, variant).agg(F.min(metric).alias("lo"), F.max(metric).alias("hi"))
-    out = (small.groupBy(*keys).agg(ROWS.alias("variants"), F.min("lo").alias("best"), F.max("hi").alias("worst"))
+    out = (small.groupBy(*keys).agg(row_count().alias("variants"), F.min("lo").alias("best"), F.max("hi").alias("worst"))
            .filter(F.col("variants") > 1)
            .withColumn("worst_to_best", ratio(F.col("worst"), F.col("best"), 4)))
     return out if top is None else out.orderBy(F.desc_nulls_last("worst_to_best"), *keys).limit(top)
@@ -104,7 +102,7 @@ def variant_spread(df: DataFrame, keys: Sequence[str], variant: str, metric: Col
 def repeated_small(df: DataFrame, keys: Sequence[str], size: Column, ts: str, many: int = 5,
                    small: int = 64) -> DataFrame:
     """Groups with several events: size range, time range, many-and-small flag."""
-    out = (df.groupBy(*keys).agg(ROWS.alias("events"), F.min(size).alias("smallest"), F.max(size).alias("largest"),
+    out = (df.groupBy(*keys).agg(row_count().alias("events"), F.min(size).alias("smallest"), F.max(size).alias("largest"),
                                  F.sum(size).alias("_sum"), F.min(ts).alias("first_event"), F.max(ts).alias("last_event"))
            .filter(F.col("events") > 1))
     return (out.withColumns({"mean": ratio(F.col("_sum"), F.col("events")),
@@ -148,13 +146,13 @@ def cache_mix(df: DataFrame, kind: str, uses: Column, size: Column, adhoc: str =
     """Cache totals with the single-use share, and totals per entry type."""
     one_off = (uses == 1) & (F.col(kind) == adhoc)
     totals = df.groupBy(*by).agg(
-        ROWS.alias("entries"), count_if(one_off).alias("single_use"), count_if(uses > 1).alias("multi_use"),
+        row_count().alias("entries"), count_if(one_off).alias("single_use"), count_if(uses > 1).alias("multi_use"),
         count_if(F.col(kind) == adhoc).alias("adhoc"), F.sum(size).alias("total_size"),
         F.sum(F.when(one_off, size).otherwise(0)).alias("single_use_size"))
     totals = totals.withColumn("single_use_pct", percent(F.col("single_use"), F.col("entries")))
-    by_type = df.groupBy(*by, kind).agg(ROWS.alias("entries"), F.sum(uses).alias("uses"),
+    by_type = df.groupBy(*by, kind).agg(row_count().alias("entries"), F.sum(uses).alias("uses"),
                                         F.sum(size).alias("total_size"),
-                                        ratio(F.sum(size), ROWS).alias("mean_size"))
+                                        ratio(F.sum(size), row_count()).alias("mean_size"))
     return CacheMix(totals, by_type)
 
 
@@ -163,7 +161,7 @@ def segment_health(df: DataFrame, keys: Sequence[str], size: Column, active: Col
     """Log segments per database: counts, sizes, too-many and many-small flags."""
     s = exact(size, 4)
     out = df.groupBy(*keys).agg(
-        ROWS.alias("segments"), count_if(active).alias("active"), count_if(~active).alias("inactive"),
+        row_count().alias("segments"), count_if(active).alias("active"), count_if(~active).alias("inactive"),
         F.min(s).alias("min_size"), F.max(s).alias("max_size"), F.sum(s).alias("total_size"))
     n = F.col("segments")
     return out.withColumns({
@@ -174,14 +172,14 @@ def segment_health(df: DataFrame, keys: Sequence[str], size: Column, active: Col
 
 def count_by(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column] | None = None,
              maxima: Mapping[str, Column] | None = None) -> DataFrame:
-    return df.groupBy(*keys).agg(ROWS.alias("rows"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()],
+    return df.groupBy(*keys).agg(row_count().alias("rows"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()],
                                  *[F.max(c).alias(n) for n, c in (maxima or {}).items()])
 
 
 def uniformity(df: DataFrame, keys: Sequence[str], size: str, growth: str, hot_rows: int | None = None) -> DataFrame:
     """Are all members of a group set up alike, and is this one less than half the mean?"""
     s = exact(F.col(size))
-    rows = attach_group(df, keys, {"_n": ROWS, "_lo": F.min(s), "_hi": F.max(s), "_sum": F.sum(s),
+    rows = attach_group(df, keys, {"_n": row_count(), "_lo": F.min(s), "_hi": F.max(s), "_sum": F.sum(s),
                                    "_glo": F.min(growth), "_ghi": F.max(growth)}, hot_rows)
     yes_no = lambda c: F.when(c, "Y").otherwise("N")
     return rows.withColumns({
@@ -203,7 +201,7 @@ def window_counts(df: DataFrame, metrics: Mapping[str, tuple[Column, bool]], by:
 
 def utilisation(df: DataFrame, active: Column, capacity: DataFrame, by: Sequence[str] = (), limit: int = 90) -> DataFrame:
     """Active workers against a capacity: one number for all, or a row per group."""
-    used = df.groupBy(*by).agg(ROWS.alias("units"), F.sum(active).alias("active"))
+    used = df.groupBy(*by).agg(row_count().alias("units"), F.sum(active).alias("active"))
     out = used.join(capacity, list(by)) if by else attach_scalar(used, capacity)
     return out.withColumns({"used_pct": percent(F.col("active"), F.col("capacity"), 1),
                             "flag_exhaustion": flag(F.col("active") * 100 > F.col("capacity") * limit)})

@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import flag
-from fleetgauge.functions.numbers import ratio
+from fleetgauge.functions.numbers import ratio, row_count
 from fleetgauge.operators.skew import salted_join
 
-ROWS = F.count(F.lit(1))
-
 
 def attach(fact: DataFrame, dims: Sequence[tuple[DataFrame, Mapping[str, str], str]]) -> DataFrame:
     """Equi-join a fact to catalogues: (dimension, {fact column: dimension column}, how)."""
@@ -32,7 +30,7 @@ def attach(fact: DataFrame, dims: Sequence[tuple[DataFrame, Mapping[str, str], s
 def coverage(entities: DataFrame, facts: DataFrame, keys: Sequence[str],
              aggs: Mapping[str, Column]) -> DataFrame:
     """Every entity with what its facts say, and a flag when there are none."""
-    per_key = facts.groupBy(*keys).agg(ROWS.alias("matches"), *[c.alias(n) for n, c in aggs.items()])
+    per_key = facts.groupBy(*keys).agg(row_count().alias("matches"), *[c.alias(n) for n, c in aggs.items()])
     return (entities.join(per_key, list(keys), "left")
             .withColumn("flag_missing", flag(F.col("matches").isNull()))
             .withColumn("matches", F.coalesce("matches", F.lit(0))))
@@ -80,7 +78,7 @@ def pairs(df: DataFrame, group: Sequence[str], key: str, like: Sequence[str]) ->
     the set holds. Listing every pair of a large set would grow with its square and say
     no more.
     """
-    sets = df.groupBy(*group, *like).agg(F.min(key).alias("first_key"), ROWS.alias("members"))
+    sets = df.groupBy(*group, *like).agg(F.min(key).alias("first_key"), row_count().alias("members"))
     sets = sets.filter(F.col("members") > 1)
     joined = salted_join(df, sets, [*group, *like], "inner").filter(F.col(key) > F.col("first_key"))
     m = F.col("members")
@@ -117,8 +115,8 @@ def blocking(sessions: DataFrame, key: str, blocker: str, wait_ms: str, detail:
     sec = (F.col(wait_ms) / 1000).cast("decimal(18,3)")
     rows = (salted_join(blocked, holders, [*by, blocker], "left")
             .select(*by, key, blocker, *detail, *[f"blocker_{c}" for c in detail], sec.alias("wait_sec")))
-    totals = (blocked.groupBy(*by, blocker).agg(ROWS.alias("n"), F.max(wait_ms).alias("mx"), F.sum(wait_ms).alias("total"))
-              .groupBy(*by).agg(ROWS.alias("direct_blockers"), F.sum("n").alias("blocked_sessions"),
+    totals = (blocked.groupBy(*by, blocker).agg(row_count().alias("n"), F.max(wait_ms).alias("mx"), F.sum(wait_ms).alias("total"))
+              .groupBy(*by).agg(row_count().alias("direct_blockers"), F.sum("n").alias("blocked_sessions"),
                                 (F.max("mx") / 1000).cast("decimal(18,3)").alias("max_wait_sec"),
                                 ratio(F.sum("total"), F.sum("n") * 1000, 3).alias("avg_wait_sec")))
     return Blocking(rows, totals)

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import band
+from fleetgauge.functions.numbers import row_count
 from fleetgauge.operators.skew import salted_join
 
-ROWS = F.count(F.lit(1))
-
 
 def signature(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str], column: str,
               descending: Column | None = None, included: Column | None = None,
@@ -50,13 +49,13 @@ def duplicate_pairs(sig: DataFrame, group: Sequence[str], key: str, filter_text:
                .select(*group, F.col(key).alias("_id"), F.col("key_columns").alias("_keys"),
                        F.col("include_columns").alias("_inc"), flt.alias("_flt")))
     same = [*group, "_keys", "_inc", "_flt"]
-    exact_sets = (members.groupBy(*same).agg(F.min("_id").alias("_first"), ROWS.alias("set_size"))
+    exact_sets = (members.groupBy(*same).agg(F.min("_id").alias("_first"), row_count().alias("set_size"))
                   .filter(F.col("set_size") > 1))
     exact = (salted_join(members, exact_sets, same, "inner").filter(F.col("_id") > F.col("_first"))
              .select(*group, F.col("_first").alias("index_1"), F.col("_id").alias("index_2"),
                      F.lit("EXACT_DUPLICATE").alias("duplicate_type"), "set_size"))
 
-    sets = members.groupBy(*group, "_keys").agg(F.min("_id").alias("_first"), ROWS.alias("set_size"))
+    sets = members.groupBy(*group, "_keys").agg(F.min("_id").alias("_first"), row_count().alias("set_size"))
     lengths = F.sequence(F.lit(1), F.size("_keys") - 1)
     longer = (members.filter(F.size("_keys") > 1).select(*group, "_id", "_keys")
               .withColumn("_len", F.explode(lengths))
@@ -78,7 +77,7 @@ def overlapping_stats(sig: DataFrame, group: Sequence[str], key: str, filter_tex
     group = list(group)
     flt = F.coalesce(F.col(filter_text), F.lit("")) if filter_text else F.lit("")
     members = sig.select(*group, F.col(key).alias("_id"), F.array_join("key_columns", ",").alias("_list"), flt.alias("_flt"))
-    sets = members.groupBy(*group, "_list", "_flt").agg(F.min("_id").alias("_first"), ROWS.alias("set_size"))
+    sets = members.groupBy(*group, "_list", "_flt").agg(F.min("_id").alias("_first"), row_count().alias("set_size"))
     occurring = (sets.select(*group, F.length("_list").alias("_len")).distinct()
                  .groupBy(*group).agg(F.collect_list("_len").alias("_lens")))
     tries = (salted_join(members, occurring, group, "inner")
@@ -114,7 +113,7 @@ def compare_keys(wanted: DataFrame, existing: DataFrame, group: Sequence[str], k
     steps = (e.withColumn("_len", F.explode(F.sequence(F.lit(1), F.size("_e"))))
              .select(*g, F.slice("_e", F.lit(1), F.col("_len")).alias("_prefix"),
                      F.coalesce(F.try_element_at("_e", F.col("_len") + 1), F.lit("")).alias("_next"), "_name")
-             .groupBy(*g, "_prefix", "_next").agg(ROWS.alias("_n"), F.min("_name").alias("_first")))
+             .groupBy(*g, "_prefix", "_next").agg(row_count().alias("_n"), F.min("_name").alias("_first")))
     # every prefix of a wanted list, with the column that follows it there
     asks = (w.withColumn("_len", F.explode(F.sequence(F.lit(1), F.size("_w"))))
             .withColumn("_prefix", F.slice("_w", F.lit(1), F.col("_len")))

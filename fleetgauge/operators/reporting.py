@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import band, flag
-from fleetgauge.functions.numbers import int_div, pages_to_mb, percent, ratio
+from fleetgauge.functions.numbers import int_div, pages_to_mb, percent, ratio, row_count
 from fleetgauge.functions.times import boundary_diff, instant, unpack_datetime, unpack_duration
 from fleetgauge.operators.skew import Scan, ordered_scan, salted_join, top_rows
 
-ROWS = F.count(F.lit(1))
-
 
 def age_report(df: DataFrame, keys: Sequence[str], ts: str, as_of, unit: str, bands: Sequence[tuple[int, str]],
                default: str) -> DataFrame:
@@ -35,7 +33,7 @@ def packed_runs(df: DataFrame, keys: Sequence[str], run_date: str, run_time: str
     runs = df.withColumns({"run_at": unpack_datetime(F.col(run_date), F.col(run_time)),
                            "duration_sec": unpack_duration(F.col(duration))})
     per_day = (runs.groupBy(*keys, F.to_date("run_at").alias("run_day"))
-               .agg(ROWS.alias("runs"), F.sum("duration_sec").alias("seconds")))
+               .agg(row_count().alias("runs"), F.sum("duration_sec").alias("seconds")))
     return PackedRuns(runs, per_day)
 
 
@@ -71,7 +69,7 @@ def file_inventory(df: DataFrame, size: str, max_size: str, growth: str, is_perc
         "flag_percent_growth": flag(is_percent),
     })
     flags = ["flag_unlimited", "flag_near_max", "flag_small_growth", "flag_percent_growth"]
-    totals = files.groupBy(*by).agg(ROWS.alias("files"), F.sum("size_mb").alias("size_mb"), *[F.sum(f).alias(f) for f in flags])
+    totals = files.groupBy(*by).agg(row_count().alias("files"), F.sum("size_mb").alias("size_mb"), *[F.sum(f).alias(f) for f in flags])
     return FileInventory(files, totals)
 
 
@@ -85,7 +83,7 @@ def catch_up(df: DataFrame, keys: Sequence[str], queue: Column, rate: Column, hi
     ladder = [(queue > high, 3)] + ([(queue > warn, 2)] if warn else []) + [((queue > 0) & (rate == 0), 1)]
     level = reduce(lambda acc, s: acc.when(*s), ladder[1:], F.when(*ladder[0])).otherwise(0)
     out = df.groupBy(*keys).agg(
-        ROWS.alias("rows"), F.max(F.when(rate > 0, est)).alias("worst_sec"), F.max(queue).alias("largest_queue"),
+        row_count().alias("rows"), F.max(F.when(rate > 0, est)).alias("worst_sec"), F.max(queue).alias("largest_queue"),
         F.sum(flag((queue > 0) & (rate == 0))).alias("stalled"), F.max(level).alias("_level"))
     names = F.element_at(F.array(*[F.lit(x) for x in ("", "ZERO_RATE", "QUEUE_WARN", "QUEUE_HIGH")]), F.col("_level") + 1)
     return out.withColumn("queue_flag", names).drop("_level")
@@ -107,7 +105,7 @@ def contention_census(df: DataFrame, resource: str, wait: Column, by: Sequence[s
     page = F.expr(f"try_cast(split_part({resource}, ':', 3) as bigint)")
     at = lambda n, stride: (page == n) | ((page > n) & (F.try_mod(page - n, F.lit(stride)) == 0))
     kind = band([(at(1, PFS_STRIDE), "PFS"), (at(2, GAM_STRIDE), "GAM"), (at(3, GAM_STRIDE), "SGAM")], "DATA_OR_OTHER")
-    out = df.groupBy(*by, kind.alias("page_class")).agg(ROWS.alias("waits"), F.sum(wait).alias("wait_total"), F.max(wait).alias("wait_max"))
+    out = df.groupBy(*by, kind.alias("page_class")).agg(row_count().alias("waits"), F.sum(wait).alias("wait_total"), F.max(wait).alias("wait_max"))
     return out.withColumn("flag_allocation_page", flag(F.col("page_class") != "DATA_OR_OTHER"))
 
 
@@ -119,9 +117,9 @@ def location_of(path: Column) -> Column:
 
 def location_census(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
     """Paths and distinct paths per entity and folder."""
-    per_path = df.groupBy(*keys, path).agg(ROWS.alias("n"))
+    per_path = df.groupBy(*keys, path).agg(row_count().alias("n"))
     return (per_path.groupBy(*keys, location_of(F.col(path)).alias("location"))
-            .agg(F.sum("n").alias("uses"), ROWS.alias("paths")))
+            .agg(F.sum("n").alias("uses"), row_count().alias("paths")))
 
 
 def statement_census(df: DataFrame, text: str, start: Column, end: Column, cost: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +129,7 @@ def statement_census(df: DataFrame, text: str, start: Column, end: Column, cost:
     stop = F.when(end == -1, F.length(text) * 2).otherwise(end)
     statement = F.substring(F.col(text), from_char, F.floor((stop - start) / 2).cast("int") + 1)
     return (df.groupBy(*by, statement.alias("statement"))
-            .agg(ROWS.alias("runs"), F.sum(cost).alias("total_cost"), F.max(cost).alias("max_cost")))
+            .agg(row_count().alias("runs"), F.sum(cost).alias("total_cost"), F.max(cost).alias("max_cost")))
 
 
 def xml_events(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -197,7 +195,7 @@ def inventory_drift(df: DataFrame, server: Sequence[str], ts: str, columns: Sequ
         for c in columns])).alias("x")).select(*server, ts, "x.*")
     changes = long(scanned.filter("_had"), True).filter(~F.col("value").eqNullSafe(F.col("previous")))
     current = long(newest, False).drop("previous")
-    common = top_rows(current.groupBy("setting", "value").agg(ROWS.alias("n")), ["setting"],
+    common = top_rows(current.groupBy("setting", "value").agg(row_count().alias("n")), ["setting"],
                       [F.desc("n"), F.asc_nulls_first("value")], 1).select("setting", F.col("value").alias("fleet_value"))
     outliers = current.join(common, "setting").filter(~F.col("value").eqNullSafe(F.col("fleet_value")))
     return Drift(newest, changes, outliers)

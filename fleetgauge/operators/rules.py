@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import Ladder, any_of, band, flag, label_of, like_any
-from fleetgauge.functions.numbers import percent
+from fleetgauge.functions.numbers import percent, row_count
 from fleetgauge.functions.times import before, boundary_diff, instant
 
-ROWS = F.count(F.lit(1))
-
 
 class RuleResult(NamedTuple):
     flagged: DataFrame
@@ -24,14 +22,14 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Column], by: Sequence[str]) -
     """Rows with any flag set, and flag counts per group. A NULL condition gives 0."""
     marked = df.withColumns({name: flag(cond) for name, cond in rules.items()})
     flagged = marked.filter(any_of([F.col(n) == 1 for n in rules]))
-    counts = marked.groupBy(*by).agg(ROWS.alias("rows"), *[F.sum(n).alias(n) for n in rules])
+    counts = marked.groupBy(*by).agg(row_count().alias("rows"), *[F.sum(n).alias(n) for n in rules])
     return RuleResult(flagged, counts)
 
 
 def band_census(df: DataFrame, ladder: Ladder, default: str, by: Sequence[str] = (),
                 out: str = "band") -> DataFrame:
     """Rows per label of a first-match ladder."""
-    return df.groupBy(*by, band(ladder, default).alias(out)).agg(ROWS.alias("rows"))
+    return df.groupBy(*by, band(ladder, default).alias(out)).agg(row_count().alias("rows"))
 
 
 # Free-space, segment-count, certificate and log-backup ladders.
@@ -63,13 +61,13 @@ def class_threshold(df: DataFrame, cls: str, limits: Mapping[str, float], metric
 
 
 # Data files may take 20 ms, log files 5 ms.
-LATENCY_LIMITS = {"ROWS": 20, "LOG": 5}
+LATENCY_LIMITS = {"row_count()": 20, "LOG": 5}
 
 
 def code_census(df: DataFrame, code: str, labels: Mapping, by: Sequence[str] = (),
                 unknown: str | None = "text", advice: Mapping | None = None) -> DataFrame:
     """Rows per code with its label (and advice); labels are added after the count."""
-    counted = df.groupBy(*by, code).agg(ROWS.alias("rows"))
+    counted = df.groupBy(*by, code).agg(row_count().alias("rows"))
     counted = counted.withColumn("label", label_of(F.col(code), labels, unknown))
     if advice is not None:
         counted = counted.withColumn("advice", label_of(F.col(code), advice, ""))
@@ -99,7 +97,7 @@ def category_census(df: DataFrame, rules: Ladder, default: str = "OTHER", by: Se
                     measures: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows (and measures) per category of an ordered rule list."""
     aggs = [c.alias(n) for n, c in (measures or {}).items()]
-    return df.groupBy(*by, band(rules, default).alias("category")).agg(ROWS.alias("rows"), *aggs)
+    return df.groupBy(*by, band(rules, default).alias("category")).agg(row_count().alias("rows"), *aggs)
 
 
 # Wait names that say nothing about load, and the patterns beside them.
@@ -180,7 +178,7 @@ def flag_combinations(df: DataFrame, labels: Ladder, by: Sequence[str] = (),
                       out: str = "flags") -> DataFrame:
     """Rows per combination of all true labels, in list order."""
     text = F.concat_ws(" ", *[F.when(cond, label) for cond, label in labels])
-    return df.groupBy(*by, text.alias(out)).agg(ROWS.alias("rows"))
+    return df.groupBy(*by, text.alias(out)).agg(row_count().alias("rows"))
 
 
 def bit_census(df: DataFrame, mask: str, bits: Mapping[int, str], by: Sequence[str] = ()) -> DataFrame:
@@ -271,7 +269,7 @@ def suspicious_objects(df: DataFrame, name: str, size: Column, by: Sequence[str]
     ladder = [(lowered.endswith(s), f"Suffix: {s}") for s in suffixes]
     ladder.append((F.col(name).rlike("[0-9]{4}$"), "Date-suffix pattern detected"))
     return (df.withColumn("pattern", band(ladder, None)).filter(F.col("pattern").isNotNull())
-            .groupBy(*by, "pattern").agg(ROWS.alias("objects"), F.sum(size).alias("total_size")))
+            .groupBy(*by, "pattern").agg(row_count().alias("objects"), F.sum(size).alias("total_size")))
 
 
 # Texts that announce a credential.
@@ -310,7 +308,7 @@ def marker_flags(df: DataFrame, text: str, markers: Mapping[str, Sequence[str]]
 
 
 def marker_summary(flagged: DataFrame, by: Sequence[str], markers: Sequence[str]) -> DataFrame:
-    return flagged.groupBy(*by).agg(ROWS.alias("texts"), *[F.sum(m).alias(m) for m in markers])
+    return flagged.groupBy(*by).agg(row_count().alias("texts"), *[F.sum(m).alias(m) for m in markers])
 
 
 def replica_flags(df: DataFrame, connected: str, health: str, mode: str, operational: str,

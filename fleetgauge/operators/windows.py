@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import flag
-from fleetgauge.functions.numbers import exact, percent, ratio
+from fleetgauge.functions.numbers import exact, percent, ratio, row_count
 from fleetgauge.functions.times import boundary_diff, instant
 from fleetgauge.operators.joins import attach_scalar
 from fleetgauge.operators.skew import Scan, attach_group, ordered_scan, top_rows
 
-ROWS = F.count(F.lit(1))
-
 
 def gaps(df: DataFrame, keys: Sequence[str], ts: str, start: str | None = None, tie: Sequence[str] = (),
          unit: str = "minute", hot_rows: int | None = None) -> DataFrame:
@@ -33,7 +31,7 @@ def gap_stats(gapped: DataFrame, keys: Sequence[str], ts: str, count_first: bool
     count unless `count_first`; a key with nothing else is then absent."""
     rows = gapped if count_first else gapped.filter(F.col("gap").isNotNull())
     return (rows.groupBy(*keys)
-            .agg(ROWS.alias("events"), F.sum("gap").alias("_sum"), F.count("gap").alias("_n"),
+            .agg(row_count().alias("events"), F.sum("gap").alias("_sum"), F.count("gap").alias("_n"),
                  F.max("gap").alias("max_gap"), F.max(ts).alias("last_event"),
                  F.sum(flag(F.col("gap") > limit)).alias("gaps_over_limit"))
             .withColumn("mean_gap", ratio(F.col("_sum"), F.col("_n"), 1)))
@@ -96,7 +94,7 @@ def last_n_stats(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ts
     """Means over the last n rows per key, and mean size by mean time."""
     s, d = exact(size), seconds.cast("decimal(18,0)")
     out = top_rows(df, keys, order, n).groupBy(*keys).agg(
-        ROWS.alias("runs"), F.sum(s).alias("_s"), F.sum(d).alias("_d"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"))
+        row_count().alias("runs"), F.sum(s).alias("_s"), F.sum(d).alias("_d"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"))
     return out.select(*keys, "runs", ratio(F.col("_s"), F.col("runs")).alias("mean_size"),
                       ratio(F.col("_d"), F.col("runs"), 1).alias("mean_sec"),
                       F.when(F.col("_d") > 0, ratio(F.col("_s"), F.col("_d"))).alias("throughput"), "oldest", "newest")
@@ -126,7 +124,7 @@ def share(df: DataFrame, metric: str, by: Sequence[str] = (), out: str = "share_
 
 def recurrence(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """How often the key of each row occurs, and whether more than once."""
-    rows = attach_group(df, keys, {"occurrences": ROWS}, hot_rows)
+    rows = attach_group(df, keys, {"occurrences": row_count()}, hot_rows)
     return rows.withColumn("flag_recurring", flag(F.col("occurrences") > 1))
 
 
@@ -135,7 +133,7 @@ def peer_deviation(df: DataFrame, keys: Sequence[str], metric: str, limit=25, fa
     """Value against the mean of its peers: off by more than `limit` percent, or more than
     `factor` times the mean. A group of one has no peers."""
     v = exact(F.col(metric))
-    rows = attach_group(df, keys, {"peers": ROWS, "_sum": F.sum(v)}, hot_rows)
+    rows = attach_group(df, keys, {"peers": row_count(), "_sum": F.sum(v)}, hot_rows)
     n, total = F.col("peers"), F.col("_sum")
     if factor is not None:
         hit = (total > 0) & (v * n > total * factor)

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.functions.labels import flag, label_of
+from fleetgauge.functions.numbers import row_count
 from fleetgauge.operators.aggregates import count_if
 
-ROWS = F.count(F.lit(1))
-
 
 def flag_columns(df: DataFrame) -> list[str]:
     """Columns named flag_*, *_flag, *Flag or *_flags."""
@@ -45,7 +44,7 @@ def score(found: DataFrame, severities: Mapping[str, str], chapters: Mapping[str
 
     Counted per check and flag first, so the labels are added to a small table.
     """
-    counted = found.groupBy(*by, "check_id", "flag").agg(ROWS.alias("n"))
+    counted = found.groupBy(*by, "check_id", "flag").agg(row_count().alias("n"))
     chapter = label_of(F.col("check_id"), chapters) if chapters else F.substring_index("check_id", "_", 1)
     return (counted.withColumns({"severity": label_of(F.col("flag"), severities, other), "chapter": chapter})
             .groupBy(*by, "chapter", "severity").agg(F.sum("n").alias("findings"), F.countDistinct("check_id", "flag").alias("kinds")))

@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import any_of, band, flag, label_of, like_any
-from fleetgauge.functions.numbers import percent, ratio
+from fleetgauge.functions.numbers import percent, ratio, row_count
 from fleetgauge.functions.times import before, boundary_diff, instant
 from fleetgauge.operators import aggregates, rules, windows
 from fleetgauge.operators.reporting import packed_runs
 from fleetgauge.operators.skew import salted_join, top_rows
 
-ROWS = F.count(F.lit(1))
-
 
 def backup_coverage(databases: DataFrame, history: DataFrame, keys: Sequence[str], kind: str, finish: str,
                     model: str, as_of, detail: Mapping[str, str] | None = None, size: str | None = None,
@@ -76,8 +74,8 @@ def rto_indicators(databases: DataFrame, files: DataFrame, history: DataFrame, s
     full = (windows.latest_ties(history.filter(F.col(kind) == codes[0]).select(*keys, start, finish), keys, finish)
             .select(*keys, F.col(finish).alias("last_full"), boundary_diff("second", F.col(start), F.col(finish)).alias("last_full_sec")))
     logs = (history.filter((F.col(kind) == codes[1]) & (F.col(finish) >= before(as_of, hours=24)))
-            .groupBy(*keys).agg(F.sum(size).alias("log_volume_24h"), ROWS.alias("log_backups_24h")))
-    segs = segments.groupBy(*keys).agg(ROWS.alias("segments"))
+            .groupBy(*keys).agg(F.sum(size).alias("log_volume_24h"), row_count().alias("log_backups_24h")))
+    segs = segments.groupBy(*keys).agg(row_count().alias("segments"))
     out = databases
     for part in (data, full, logs, segs):
         out = out.join(part, keys, "left")
@@ -109,7 +107,7 @@ def job_reliability(jobs: DataFrame, history: DataFrame, keys: Sequence[str], ts
     window = history.filter(F.col(ts) >= before(as_of, days=days))
     d = seconds.cast("bigint")
     stats = window.groupBy(*keys).agg(
-        ROWS.alias("total_runs"), *[aggregates.count_if(F.col(status) == v).alias(n) for n, v in c.items()],
+        row_count().alias("total_runs"), *[aggregates.count_if(F.col(status) == v).alias(n) for n, v in c.items()],
         F.floor(F.sum(d) / F.count(d)).cast("bigint").alias("mean_sec"), F.max(d).alias("max_sec"), F.min(d).alias("min_sec"),
         F.max(F.struct(F.col(ts).alias("t"), F.col(status).alias("s"))).alias("_m"))
     stats = stats.withColumns({"last_run": F.col("_m.t"), "last_status": F.col("_m.s"),
@@ -138,8 +136,8 @@ def job_inventory(jobs: DataFrame, steps: DataFrame, schedules: DataFrame, histo
                   enabled: str, schedule_on: Column, next_run: str, last: str, status: str, tie: Sequence[str] = ()) -> DataFrame:
     """Jobs with step and schedule counts, next and last run, and what is odd about them."""
     keys = list(keys)
-    s = steps.groupBy(*keys).agg(ROWS.alias("steps"))
-    c = schedules.filter(schedule_on).groupBy(*keys).agg(ROWS.alias("schedules"), F.min(next_run).alias("next_run"))
+    s = steps.groupBy(*keys).agg(row_count().alias("steps"))
+    c = schedules.filter(schedule_on).groupBy(*keys).agg(row_count().alias("schedules"), F.min(next_run).alias("next_run"))
     h = (windows.latest(history.select(*keys, last, status, *tie), keys, [F.desc(last), *[F.desc(t) for t in tie]])
          .select(*keys, F.col(last).alias("last_run"), F.col(status).alias("last_status")))
     out = jobs.join(s, keys, "left").join(c, keys, "left").join(h, keys, "left")
@@ -162,7 +160,7 @@ def maintenance_effect(runs: DataFrame, keys: Sequence[str], command: str, day:
     nothing = ok & like_any(F.col(message), zero_patterns, ignore_case=True)
     kept = runs.filter(like_any(F.col(command), scope, ignore_case=True)).withColumn("category", band(ladder, "OTHER"))
     out = kept.groupBy(*keys, "category").agg(
-        ROWS.alias("total_runs"), aggregates.count_if(ok).alias("successes"), aggregates.count_if(~ok).alias("failures"),
+        row_count().alias("total_runs"), aggregates.count_if(ok).alias("successes"), aggregates.count_if(~ok).alias("failures"),
         F.max(F.struct(F.col(day).alias("d"), F.col(status).alias("s"))).alias("_m"), F.max(flag(nothing)).alias("_z"))
     return out.select(*keys, "category", "total_runs", "successes", "failures", F.col("_m.d").alias("last_run_day"),
                       F.col("_m.s").alias("last_status"),
@@ -211,7 +209,7 @@ def check_history(databases: DataFrame, lines: DataFrame, keys: Sequence[str], n
                     (t.contains("CHECKDB"), "UNKNOWN")], "OTHER")
     parsed = (lines.filter(t.contains("DBCC CHECKDB (")).select(
         *by, F.trim(F.regexp_extract(t, r"\(([^)]*)\)", 1)).alias(name), ts, outcome.alias("outcome"), *tie))
-    counted = parsed.groupBy(*by, name).agg(ROWS.alias("log_entries"))
+    counted = parsed.groupBy(*by, name).agg(row_count().alias("log_entries"))
     last = windows.latest(parsed, [*by, name], [F.desc(ts), *[F.desc(c) for c in tie]])
     out = databases.join(counted, [*by, *keys], "left").join(last.drop(*tie), [*by, *keys], "left")
     days = boundary_diff("day", F.col(ts), instant(as_of))
@@ -310,5 +308,5 @@ def expiry_report(sources: Mapping[str, DataFrame], expiry: str, as_of, by: Sequ
     every = append_branches({n: df.select(*by, expiry) for n, df in sources.items()}, "cert_source")
     label = band(rules.expiry_ladder(F.col(expiry), as_of), "OK")
     return every.groupBy(*by, "cert_source", label.alias("expiry_flag")).agg(
-        ROWS.alias("certificates"), F.min(expiry).alias("first_expiry"),
+        row_count().alias("certificates"), F.min(expiry).alias("first_expiry"),
         F.min(boundary_diff("day", instant(as_of), F.col(expiry))).alias("fewest_days_left"))

@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgauge.functions.numbers import row_count
 from fleetgauge.session import scratch_dir
 
-ROWS = F.count(F.lit(1))
-
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need a zoned timestamp; zone-less times are read as session time."""
@@ -32,7 +31,7 @@ def stream_error_counts(sdf: DataFrame, ts: str, cls: Column, window: str = "1 h
                         by: Sequence[str] = ()) -> DataFrame:
     """Lines per class and tumbling window; lines later than the delay are dropped."""
     timed = _event_time(sdf, ts).withWatermark(ts, late)
-    counted = timed.groupBy(F.window(ts, window).alias("w"), *by, cls.alias("error_class")).agg(ROWS.alias("lines"))
+    counted = timed.groupBy(F.window(ts, window).alias("w"), *by, cls.alias("error_class")).agg(row_count().alias("lines"))
     return _plain_times(counted.select(*by, "error_class", F.col("w.start").alias("window_start"),
                                        F.col("w.end").alias("window_end"), "lines"), "window_start", "window_end")
 
@@ -41,7 +40,7 @@ def batch_error_counts(df: DataFrame, ts: str, cls: Column, window: str = "1 hou
                        by: Sequence[str] = ()) -> DataFrame:
     timed = _event_time(df, ts)
     mark = timed.agg((F.max(ts) - F.expr(f"INTERVAL {late}")).alias("m")).scalar()
-    counted = timed.groupBy(F.window(ts, window).alias("w"), *by, cls.alias("error_class")).agg(ROWS.alias("lines"))
+    counted = timed.groupBy(F.window(ts, window).alias("w"), *by, cls.alias("error_class")).agg(row_count().alias("lines"))
     closed = counted.filter(F.col("w.end") <= mark)
     return _plain_times(closed.select(*by, "error_class", F.col("w.start").alias("window_start"),
                                       F.col("w.end").alias("window_end"), "lines"), "window_start", "window_end")
@@ -50,7 +49,7 @@ def batch_error_counts(df: DataFrame, ts: str, cls: Column, window: str = "1 hou
 def stream_gap_alerts(sdf: DataFrame, keys: Sequence[str], ts: str, limit: str = "6 hours", late: str = "10 minutes") -> DataFrame:
     """An alert each time an entity has been silent for longer than `limit`."""
     timed = _event_time(sdf, ts).withWatermark(ts, late)
-    silent = timed.groupBy(F.session_window(ts, limit).alias("w"), *keys).agg(ROWS.alias("events"), F.max(ts).alias("last_event"))
+    silent = timed.groupBy(F.session_window(ts, limit).alias("w"), *keys).agg(row_count().alias("events"), F.max(ts).alias("last_event"))
     return _plain_times(silent.select(*keys, F.col("w.start").alias("first_event"), "last_event",
                                       F.col("w.end").alias("silent_since_limit"), "events"),
                         "first_event", "last_event", "silent_since_limit")
@@ -59,10 +58,12 @@ def stream_gap_alerts(sdf: DataFrame, keys: Sequence[str], ts: str, limit: str =
 def batch_gap_alerts(df: DataFrame, keys: Sequence[str], ts: str, limit: str = "6 hours", late: str = "10 minutes") -> DataFrame:
     timed = _event_time(df, ts)
     mark = timed.agg((F.max(ts) - F.expr(f"INTERVAL {late}")).alias("m")).scalar()
-    silent = timed.groupBy(F.session_window(ts, limit).alias("w"), *keys).agg(ROWS.alias("events"), F.max(ts).alias("last_event"))
-    return _plain_times(silent.filter(F.col("w.end") <= mark).select(
-        *keys, F.col("w.start").alias("first_event"), "last_event", F.col("w.end").alias("silent_since_limit"), "events"),
-        "first_event", "last_event", "silent_since_limit")
+    silent = timed.groupBy(F.session_window(ts, limit).alias("w"), *keys).agg(row_count().alias("events"), F.max(ts).alias("last_event"))
+    # filter on the aggregate, not on the window: a filter on the window key would be moved
+    # below the merging of sessions
+    closed = silent.filter(F.col("last_event") + F.expr(f"INTERVAL {limit}") <= mark)
+    return _plain_times(closed.select(*keys, F.col("w.start").alias("first_event"), "last_event", F.col("w.end").alias("silent_since_limit"), "events"),
+                        "first_event", "last_event", "silent_since_limit")
 
 
 def run_to_table(result: DataFrame, label: str, path: str | None = None, trigger: dict | None = None) -> DataFrame:
