@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetgauge.bindings.registry import EVENTS_NOW, ORDERS_NOW, bind, cents, half_up
-from fleetgauge.functions.numbers import exact, row_count
+from fleetgauge.bindings.registry import EVENTS_NOW, bind, cents, half_up
 from fleetgauge.operators import windows
 from fleetgauge.operators.aggregates import count_by
 

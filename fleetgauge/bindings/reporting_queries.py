@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetgauge.bindings.registry import EVENTS_NOW, bind, cents, half_up, money
+from fleetgauge.bindings.registry import EVENTS_NOW, bind, cents, half_up
 from fleetgauge.functions.numbers import exact
 from fleetgauge.operators import reporting as rep
-from fleetgauge.operators.aggregates import count_by, with_total
+from fleetgauge.operators.aggregates import with_total
 
 
 @bind("dat1_age_report", f"""
