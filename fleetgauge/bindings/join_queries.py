@@ -10,6 +10,7 @@ from fleetgauge.functions.numbers import exact, ratio, row_count
 from fleetgauge.operators import joins
 from fleetgauge.operators.aggregates import count_by
 from fleetgauge.operators.overlap import signature
+from fleetgauge.session import write_once
 
 
 @bind("joi1_attach", f"""
@@ -63,7 +64,7 @@ FROM sig a JOIN sig b ON a.o_custkey = b.o_custkey AND b.l_orderkey > a.l_orderk
 JOIN (SELECT o_custkey, list, count(*) AS n FROM sig GROUP BY 1, 2) s ON s.o_custkey = b.o_custkey AND s.list = b.list GROUP BY a.o_custkey, b.l_orderkey, b.list""")
 def joi7(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    sig = signature(rows, ["o_custkey", "l_orderkey"], ["l_linenumber"], "l_returnflag")
+    sig = write_once(signature(rows, ["o_custkey", "l_orderkey"], ["l_linenumber"], "l_returnflag"), "joi7")
     return joins.pairs(sig.withColumn("list", F.array_join("key_columns", ",")), ["o_custkey"], "l_orderkey", ["list"])
 
 

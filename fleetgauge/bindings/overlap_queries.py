@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.bindings.registry import bind
 from fleetgauge.operators import overlap
+from fleetgauge.session import write_once
 
 
 def _lines(t):
@@ -18,6 +19,11 @@ def _signatures(t):
                              F.col("l_linenumber") == 7, keep=["o_orderstatus"])
 
 
+def _plain_signatures(t, label):
+    """Signatures that several branches read: written once."""
+    return write_once(overlap.signature(_lines(t), ["o_custkey", "l_orderkey"], ["l_linenumber"], "l_returnflag", keep=["o_orderstatus"]), label)
+
+
 _SIG = """sig AS (SELECT o_custkey, l_orderkey, o_orderstatus,
    coalesce(string_agg(l_returnflag || CASE l_linestatus WHEN 'F' THEN ':DESC' ELSE ':ASC' END, ',' ORDER BY l_linenumber, l_returnflag || CASE l_linestatus WHEN 'F' THEN ':DESC' ELSE ':ASC' END) FILTER (WHERE l_linenumber <> 7), '') AS keys,
    coalesce(string_agg(l_returnflag, ',' ORDER BY l_returnflag) FILTER (WHERE l_linenumber = 7), '') AS inc
@@ -39,7 +45,7 @@ SELECT o_custkey, min(a) AS index_1, b AS index_2, 'EXACT_DUPLICATE' AS duplicat
 UNION ALL
 SELECT o_custkey, least(min(a), b), greatest(min(a), b), CASE WHEN min(a) < b THEN 'INDEX1_IS_PREFIX' ELSE 'INDEX2_IS_PREFIX' END, count(*) FROM p WHERE kind = 'PREFIX' GROUP BY o_custkey, b, akeys""")
 def dup2(t):
-    return overlap.duplicate_pairs(_signatures(t), ["o_custkey"], "l_orderkey", "o_orderstatus")
+    return overlap.duplicate_pairs(write_once(_signatures(t), "dup2"), ["o_custkey"], "l_orderkey", "o_orderstatus")
 
 
 @bind("dup3_overlapping_stats", """
@@ -50,13 +56,13 @@ SELECT a.o_custkey, min(a.l_orderkey) AS stat_1, b.l_orderkey AS stat_2, a.list
 FROM sig a JOIN sig b ON a.o_custkey = b.o_custkey AND b.l_orderkey > a.l_orderkey AND starts_with(b.list, a.list)
 JOIN n ON n.o_custkey = a.o_custkey AND n.list = a.list AND n.o_orderstatus = a.o_orderstatus GROUP BY a.o_custkey, b.l_orderkey, a.list, a.o_orderstatus, b.list, b.o_orderstatus""")
 def dup3(t):
-    sig = overlap.signature(_lines(t), ["o_custkey", "l_orderkey"], ["l_linenumber"], "l_returnflag", keep=["o_orderstatus"])
+    sig = _plain_signatures(t, "dup3")
     return overlap.overlapping_stats(sig, ["o_custkey"], "l_orderkey", "o_orderstatus")
 
 
 def _wanted_existing(t):
     """Failed orders ask for an index, all others have one."""
-    sig = overlap.signature(_lines(t), ["o_custkey", "l_orderkey"], ["l_linenumber"], "l_returnflag", keep=["o_orderstatus"]).withColumnRenamed("key_columns", "keys")
+    sig = _plain_signatures(t, "dup45").withColumnRenamed("key_columns", "keys")
     name = sig.withColumn("index_name", F.format_string("ix_%08d", "l_orderkey"))
     return name.filter("o_orderstatus = 'F'"), name.filter("o_orderstatus <> 'F'")
 

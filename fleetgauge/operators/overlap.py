@@ -49,13 +49,14 @@ def duplicate_pairs(sig: DataFrame, group: Sequence[str], key: str, filter_text:
                .select(*group, F.col(key).alias("_id"), F.col("key_columns").alias("_keys"),
                        F.col("include_columns").alias("_inc"), flt.alias("_flt")))
     same = [*group, "_keys", "_inc", "_flt"]
-    exact_sets = (members.groupBy(*same).agg(F.min("_id").alias("_first"), row_count().alias("set_size"))
-                  .filter(F.col("set_size") > 1))
-    exact = (salted_join(members, exact_sets, same, "inner").filter(F.col("_id") > F.col("_first"))
+    counted = members.groupBy(*same).agg(F.min("_id").alias("_first"), row_count().alias("set_size"))
+    exact = (salted_join(members, counted.filter(F.col("set_size") > 1), same, "inner",
+                         counted=counted.select(*same, F.col("set_size").alias("_rows")))
+             .filter(F.col("_id") > F.col("_first"))
              .select(*group, F.col("_first").alias("index_1"), F.col("_id").alias("index_2"),
                      F.lit("EXACT_DUPLICATE").alias("duplicate_type"), "set_size"))
 
-    sets = members.groupBy(*group, "_keys").agg(F.min("_id").alias("_first"), row_count().alias("set_size"))
+    sets = counted.groupBy(*group, "_keys").agg(F.min("_first").alias("_first"), F.sum("set_size").alias("set_size"))
     lengths = F.sequence(F.lit(1), F.size("_keys") - 1)
     longer = (members.filter(F.size("_keys") > 1).select(*group, "_id", "_keys")
               .withColumn("_len", F.explode(lengths))

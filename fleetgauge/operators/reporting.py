@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import band, flag
-from fleetgauge.functions.numbers import int_div, pages_to_mb, percent, ratio, row_count
+from fleetgauge.functions.numbers import int_div, pages_to_mb, percent, ratio, row_count, whole_ratio
 from fleetgauge.functions.times import boundary_diff, instant, unpack_datetime, unpack_duration
 from fleetgauge.operators.skew import Scan, ordered_scan, salted_join, top_rows
 
@@ -79,7 +79,7 @@ def catch_up(df: DataFrame, keys: Sequence[str], queue: Column, rate: Column, hi
 
     `whole` divides whole numbers and drops the rest; otherwise one decimal is kept.
     """
-    est = int_div(queue, rate).cast("decimal(18,1)") if whole else ratio(queue, rate, 1)
+    est = int_div(queue, rate).cast("decimal(18,1)") if whole else whole_ratio(queue, rate, 1)
     ladder = [(queue > high, 3)] + ([(queue > warn, 2)] if warn else []) + [((queue > 0) & (rate == 0), 1)]
     level = reduce(lambda acc, s: acc.when(*s), ladder[1:], F.when(*ladder[0])).otherwise(0)
     out = df.groupBy(*keys).agg(

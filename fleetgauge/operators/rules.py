@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import Ladder, any_of, band, flag, label_of, like_any
-from fleetgauge.functions.numbers import percent, row_count
+from fleetgauge.functions.numbers import row_count, whole_ratio
 from fleetgauge.functions.times import before, boundary_diff, instant
 
 
@@ -225,7 +225,7 @@ def frag_flags(df: DataFrame, pct: str, pages: str, fill: str, min_pages: int =
 def rowgroup_flags(df: DataFrame, total: str, deleted: str, state: str, full: int = 102_400) -> DataFrame:
     """Row groups with many deleted rows, closed too small, or still open."""
     return df.withColumns({
-        "deleted_flag": F.when(percent(F.col(deleted), F.col(total), 6) > 20, "HIGH_DELETED_ROWS").otherwise(""),
+        "deleted_flag": F.when((F.col(total) > 0) & (F.col(deleted) * 5 > F.col(total)), "HIGH_DELETED_ROWS").otherwise(""),
         "undersized_flag": F.when((F.col(total) < full) & (F.col(state) == "COMPRESSED"), "UNDERSIZED_ROWGROUP").otherwise(""),
         "open_flag": F.when(F.col(state) == "OPEN", "TUPLE_MOVER_BACKLOG").otherwise(""),
     })
@@ -239,9 +239,9 @@ def freshness(df: DataFrame, updated: str, rows: str, sampled: str, mods: str, a
               (m * 5 > n, "HIGH_MOD_RATE")]
     return df.withColumns({
         "days_since_update": days,
-        "sample_pct": percent(F.col(sampled), n, 1),
+        "sample_pct": whole_ratio(F.col(sampled), n, 1, 100),
         "freshness": band(ladder, "OK"),
-        "sample_flag": F.when(percent(F.col(sampled), n, 6) < 10, "LOW_SAMPLE").otherwise("OK"),
+        "sample_flag": F.when((n > 0) & (F.col(sampled) * 10 < n), "LOW_SAMPLE").otherwise("OK"),
     })
 
 

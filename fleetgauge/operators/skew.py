@@ -28,50 +28,57 @@ MAX_HOT_KEYS = 10_000
 MAX_PIECES = 4_096
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None,
-             position: Column | None = None) -> DataFrame:
+             position: str | None = None) -> DataFrame:
     """Keys with at least `hot_rows` rows, and how many; with `position` also its range."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     if position is not None:
         aggs += [F.min(position).alias("_low"), F.max(position).alias("_high")]
-    return (df.groupBy(*keys).agg(*aggs)
-            .filter(F.col("_rows") >= (hot_rows or HOT_ROWS))
-            .orderBy(F.desc("_rows"), *keys)
-            .limit(MAX_HOT_KEYS))
+    return _hottest(df.groupBy(*keys).agg(*aggs), keys, hot_rows)
+
+
+def _hottest(counted: DataFrame, keys: Sequence[str], hot_rows: int | None) -> DataFrame:
+    return (counted.filter(F.col("_rows") >= (hot_rows or HOT_ROWS))
+            .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS))
 
 
 def _attach_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
-                         *[c for c in hot.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b,
-                  [df[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in keys])
+    renamed = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in keys])
     return df.join(F.broadcast(renamed), cond, how).drop(*[f"_hot_{k}" for k in keys])
 
 
+def _spread_columns(fact: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Two cheap columns that tell the rows of a key apart; more would undo column pruning."""
+    cheap = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    return [f.name for f in fact.schema if f.name not in keys and isinstance(f.dataType, cheap)][:2]
+
+
 def salted_join(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner",
-                hot_rows: int | None = None) -> DataFrame:
+                hot_rows: int | None = None, null_safe: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """Equi-join of a fact table to a lookup with few rows per key.
 
-    Rows of a hot key are spread over several partitions, and only that key's lookup
-    rows are repeated, once per piece. `how` is inner, left, left_semi or left_anti.
-    NULL keys never match, as in any equi-join.
+    Rows of a hot key are spread over several partitions by two of their columns and the
+    number of their input partition (both the same when a task is run again), and only that
+    key's lookup rows are repeated, once per piece. `how` is inner, left, left_semi or
+    left_anti. NULL keys match only if `null_safe`. `counted` are known row counts per key
+    (`_rows`).
     """
     keys = list(keys)
     limit = hot_rows or HOT_ROWS
-    hot = hot_keys(fact, keys, limit).select(
-        *keys, F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
-    spread = F.pmod(F.xxhash64(*fact.columns) + F.spark_partition_id(), F.col("_pieces"))
+    hot = hot_keys(fact, keys, limit) if counted is None else _hottest(counted, keys, limit)
+    hot = hot.select(*keys, F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
+    cheap = _spread_columns(fact, keys)
+    number = (F.xxhash64(*cheap) if cheap else F.lit(0)) + F.spark_partition_id()
     left = (_attach_hot(fact, hot, keys, "left")
-            .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int"))
+            .withColumn("_salt", F.coalesce(F.pmod(number, F.col("_pieces")), F.lit(0)).cast("int"))
             .drop("_pieces"))
     right = (_attach_hot(lookup, hot, keys, "left")
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))))
-             .drop("_pieces"))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+             .withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))))
+             .drop("_pieces").withColumnsRenamed({k: f"_r_{k}" for k in keys}))
+    same = [left[k].eqNullSafe(right[f"_r_{k}"]) if null_safe else left[k] == right[f"_r_{k}"] for k in keys]
+    cond = reduce(lambda a, b: a & b, same, left["_salt"] == right["_r_salt"])
+    return left.join(right, cond, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
 def attach_group(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
@@ -80,27 +87,11 @@ def attach_group(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
 
     NULL keys form a group of their own, as they do in a window partition.
     """
-    keys = list(keys)
-    marks = {f"_k{i}": k for i, k in enumerate(keys)}
-    # NULL-safe keys: a hashable struct is equal to itself even when a field is NULL
-    safe = {m: F.struct(F.col(k).isNull().alias("n"), F.coalesce(F.col(k), F.lit(_blank(df, k))).alias("v"))
-            for m, k in marks.items()}
-    stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]).withColumns(safe).drop(*keys)
-    joined = salted_join(df.withColumns(safe), stats, list(marks), "inner", hot_rows)
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in aggs.items()])
+    joined = salted_join(df, stats.drop("_rows"), keys, "inner", hot_rows, True, stats.select(*keys, "_rows"))
     return joined.select(*df.columns, *aggs)
 
 
-def _blank(df: DataFrame, column: str):
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        return ""
-    if isinstance(kind, T.BooleanType):
-        return False
-    if isinstance(kind, T.NumericType):
-        return 0
-    return F.lit("1970-01-01 00:00:00").cast(kind)
-
-
 @dataclass
 class Scan:
     """What an ordered pass should carry.
@@ -114,15 +105,15 @@ class Scan:
     by: Sequence[str] = ()
 
 
-def _position(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
+def _position(column: Column, kind: T.DataType) -> Column:
+    """A time or number as a double that keeps the order."""
     if isinstance(kind, (T.TimestampNTZType, T.DateType)):
-        return boundary_count("second", F.col(column).cast("timestamp_ntz")).cast("double")
+        return boundary_count("second", column.cast("timestamp_ntz")).cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_timestamp(column).cast("double")
     if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    raise TypeError(f"cannot cut {column} of type {kind.simpleString()} into ranges")
+        return column.cast("double")
+    raise TypeError(f"cannot cut values of type {kind.simpleString()} into ranges")
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
@@ -136,12 +127,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans
     """
     keys, order = list(keys), list(order)
     limit = hot_rows or HOT_ROWS
-    position = _position(df, order[0])
-    hot = hot_keys(df, keys, limit, position).select(
-        *keys, "_low",
-        F.least(F.ceil(F.col("_rows") / limit) * 4, F.lit(MAX_PIECES)).alias("_pieces"), "_high")
+    kind = df.schema[order[0]].dataType
+    low, high = _position(F.col("_low"), kind), _position(F.col("_high"), kind)
+    hot = hot_keys(df, keys, limit, order[0]).select(
+        *keys, low.alias("_low"),
+        F.least(F.ceil(F.col("_rows") / limit) * 4, F.lit(MAX_PIECES)).alias("_pieces"), high.alias("_high"))
     width = F.greatest((F.col("_high") - F.col("_low")) / F.col("_pieces"), F.lit(1e-6))
-    piece = F.coalesce(F.floor((position - F.col("_low")) / width) + 1, F.lit(0)).cast("int")
+    # cold keys have no range and stay whole; rows without a time come first
+    piece = F.when(F.col("_low").isNotNull(), F.coalesce(
+        F.floor((_position(F.col(order[0]), kind) - F.col("_low")) / width) + 1, F.lit(0))).otherwise(0).cast("int")
     extras = ["_low", "_high", "_pieces"]
 
     rows = _attach_hot(df, hot, keys, "left").withColumn("_piece", piece).drop(*extras)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import flag
-from fleetgauge.functions.numbers import exact, percent, ratio, row_count
+from fleetgauge.functions.numbers import exact, ratio, row_count, whole_ratio
 from fleetgauge.functions.times import boundary_diff, instant
 from fleetgauge.operators.joins import attach_scalar
 from fleetgauge.operators.skew import Scan, attach_group, ordered_scan, top_rows
@@ -41,7 +41,7 @@ def gap_list(gapped: DataFrame, keys: Sequence[str], ts: str, limit: int = 60) -
     """Gaps above a limit with their length in hours."""
     return gapped.filter(F.col("gap") > limit).select(
         *keys, F.col("previous").alias("previous_event"), F.col(ts).alias("this_event"), "gap",
-        ratio(F.col("gap"), F.lit(60), 1).alias("gap_hours"))
+        whole_ratio(F.col("gap"), F.lit(60), 1).alias("gap_hours"))
 
 
 def chain_audit(df: DataFrame, entity: Sequence[str], kind: str, start: str, first: str, last: str, base: str,
@@ -114,12 +114,13 @@ def regressions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], met
 
 def share(df: DataFrame, metric: str, by: Sequence[str] = (), out: str = "share_pct",
           hot_rows: int | None = None) -> DataFrame:
-    """Percent of the total (or of the group total); NULL when the total is 0."""
+    """Percent of the total (or of the group total); NULL when the total is 0. The metric
+    holds whole numbers (milliseconds, pages, cents)."""
     if by:
         rows = attach_group(df, by, {"_total": F.sum(metric)}, hot_rows)
     else:
         rows = attach_scalar(df, df.agg(F.sum(metric).alias("_total")))
-    return rows.withColumn(out, percent(F.col(metric), F.col("_total"))).drop("_total")
+    return rows.withColumn(out, whole_ratio(F.col(metric), F.col("_total"), 2, 100)).drop("_total")
 
 
 def recurrence(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import any_of, band, flag, label_of, like_any
-from fleetgauge.functions.numbers import percent, ratio, row_count
+from fleetgauge.functions.numbers import percent, row_count, whole_ratio
 from fleetgauge.functions.times import before, boundary_diff, instant
 from fleetgauge.operators import aggregates, rules, windows
 from fleetgauge.operators.skew import salted_join
@@ -91,7 +91,7 @@ def wait_profile(df: DataFrame, wait: str, tasks: str, total: str, signal: str,
     ladder = (categories or rules.wait_category)(F.col(wait), F.col(total), F.col(signal))
     return shared.select(*by, wait, tasks, total, signal, longest, "share_pct",
                          (F.col(total) - F.col(signal)).alias("resource"),
-                         ratio(F.col(total), F.col(tasks), zero=0).alias("mean_wait"),
+                         F.coalesce(whole_ratio(F.col(total), F.col(tasks)), F.lit(0).cast("decimal(18,2)")).alias("mean_wait"),
                          band(ladder, "OTHER").alias("category"))
 
 
