@@ -29,8 +29,8 @@ def ratio(num: Column, den: Column, scale: int = 2, times: int = 1,
     rest = F.try_mod(n, d)
     whole = F.try_divide(n - rest, d).cast("decimal(37,0)") + F.when(rest * 2 >= d, 1).otherwise(0)
     q = whole.cast("decimal(37,0)") * F.lit(Decimal(1).scaleb(-scale)) * F.when((num < 0) != (den < 0), -1).otherwise(1)
-    q = F.when(den != 0, q).cast(f"decimal(18,{scale})")
-    return q if zero is None else F.when(den == 0, F.lit(zero)).otherwise(q).cast(f"decimal(18,{scale})")
+    q = F.when(den != 0, q).cast(f"decimal(28,{scale})")
+    return q if zero is None else F.when(den == 0, F.lit(zero)).otherwise(q).cast(f"decimal(28,{scale})")
 
 
 def whole_ratio(num: Column, den: Column, scale: int = 2, times: int = 1) -> Column:
@@ -41,7 +41,7 @@ def whole_ratio(num: Column, den: Column, scale: int = 2, times: int = 1) -> Col
     twice = F.nullif(F.try_multiply(F.abs(d), F.lit(2).cast("bigint")), F.lit(0).cast("bigint"))
     quick = F.call_function("div", F.try_add(size, F.abs(d)), twice)
     signed = F.when((n < 0) != (d < 0), -quick).otherwise(quick)
-    as_decimal = (signed.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(18,{scale})")
+    as_decimal = (signed.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(28,{scale})")
     return F.when(d == 0, None).when(signed.isNotNull(), as_decimal).otherwise(ratio(num, den, scale, times))
 
 
