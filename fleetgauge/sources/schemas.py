@@ -23,7 +23,7 @@ LANDING = {
                    "recovery_model STRING",
     "fact_job_run": "job_id STRING, step_id INT, run_date INT, run_time INT, run_duration INT, run_status INT, message STRING",
     "fact_wait": "wait_type STRING, waiting_tasks_count BIGINT, wait_time_ms BIGINT, signal_wait_time_ms BIGINT, "
-                 "max_wait_time_ms BIGINT, sqlserver_start_time TIMESTAMP_NTZ",
+                 "max_wait_time_ms BIGINT, started_at TIMESTAMP_NTZ",
     "fact_query_runtime": "database_name STRING, query_id BIGINT, plan_id BIGINT, last_execution_time TIMESTAMP, "
                           "count_executions BIGINT, avg_duration DOUBLE, avg_tempdb_space_used DOUBLE, max_tempdb_space_used BIGINT",
     "fact_index_column": "database_id INT, object_id INT, index_id INT, index_name STRING, key_ordinal INT, index_column_id INT, "

@@ -33,8 +33,11 @@ def read_section(spark: SparkSession, paths: str | Sequence[str], schema: str |
     if fmt == "csv":
         groups = ({tuple(names): [glob] for glob, names in layouts.items()} if layouts
                   else _by_header(spark, paths))
+        # exports quote by doubling, and texts hold line breaks
+        options = {"escape": '"', "multiLine": True, **options}
+        none = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in [*wanted, *meta]])
         frames = [_csv(spark, files, header, wanted, meta, options) for header, files in groups.items()]
-        raw = reduce(lambda a, b: a.unionByName(b), frames)
+        raw = reduce(lambda a, b: a.unionByName(b), frames, none)
     else:
         full = T.StructType([*wanted, *[f for f in meta if f.name not in wanted.names]])
         raw = spark.read.schema(full).options(**options).format(fmt).load(paths)
@@ -45,13 +48,14 @@ def read_section(spark: SparkSession, paths: str | Sequence[str], schema: str |
 
 def _by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files grouped by header line. The driver gets what its file listing holds anyway: paths."""
-    lines = spark.read.option("wholetext", False).text(list(paths))
+    lines = spark.read.text(list(paths))
+    named = lambda c: F.col("value").rlike(f'(^|,)\ufeff?"?{c}"?(,|\r?$)')
     first = (lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-             .filter((F.col("at") == 0) & F.col("value").contains("CollectedAt"))
-             .groupBy("path").agg(F.first("value").alias("header")))
+             .filter((F.col("at") == 0) & named("CollectedAt") & named("SqlInstance"))
+             .groupBy("path").agg(F.min("value").alias("header")))
     out: dict[tuple[str, ...], list[str]] = {}
     for row in first.groupBy("header").agg(F.collect_list("path").alias("paths")).toLocalIterator():
-        names = tuple(n.strip().strip('"').lstrip("﻿") for n in row.header.split(","))
+        names = tuple(n.strip().lstrip("\ufeff").strip('"') for n in row.header.split(","))
         out.setdefault(names, []).extend(row.paths)
     return out
 
@@ -81,11 +85,12 @@ def write_section(df: DataFrame, root: str, section: str, mode: str = "overwrite
     """Write one section as Parquet below root/section, partitioned by server and run day.
 
     Only the partitions present in `df` are replaced, so a repeated run does not double rows.
-    Rows are spread by partition and a hash, so a large server is written by several tasks.
+    Rows are brought together by partition first, so that small servers give few files; a
+    large one is split over several tasks by the adaptive rebalance.
     """
     path = f"{root.rstrip('/')}/{section}"
     day = F.to_date(collected_at)
-    (df.withColumn("run_date", day)
+    (df.withColumn("run_date", day).hint("rebalance", F.col(instance), F.col("run_date"))
      .write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy(instance, "run_date").parquet(path))
     return path
