@@ -194,10 +194,10 @@ def top2(t):
 
 
 @bind("top3_severity_sort", """
-SELECT o_orderkey, o_orderstatus, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 50 END AS severity_rank FROM orders ORDER BY severity_rank, o_totalprice DESC, o_orderkey LIMIT 500""")
+SELECT o_orderkey, o_orderstatus, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 50 END AS severity_rank FROM orders ORDER BY severity_rank, o_totalprice DESC, o_orderkey""")
 def top3(t):
     return ranking.severity_sort(t.orders, "o_orderstatus", {"F": 1, "P": 2}, [F.desc("o_totalprice"), F.col("o_orderkey")]).select(
-        "o_orderkey", "o_orderstatus", "o_totalprice", "severity_rank").limit(500)
+        "o_orderkey", "o_orderstatus", "o_totalprice", "severity_rank")
 
 
 @bind("top4_net_top", f"""

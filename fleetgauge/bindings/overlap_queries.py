@@ -10,18 +10,19 @@ from fleetgauge.operators import overlap
 from fleetgauge.session import write_once
 
 
-def _lines(t):
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+def _of_orders(t, sig):
+    """Signatures per order, then the order's customer and status: lists travel once."""
+    owner = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
+    return sig.join(owner, "l_orderkey")
 
 
 def _signatures(t):
-    return overlap.signature(_lines(t), ["o_custkey", "l_orderkey"], ["l_linenumber"], "l_returnflag", F.col("l_linestatus") == "F",
-                             F.col("l_linenumber") == 7, keep=["o_orderstatus"])
+    return _of_orders(t, overlap.signature(t.lineitem, ["l_orderkey"], ["l_linenumber"], "l_returnflag", F.col("l_linestatus") == "F", F.col("l_linenumber") == 7))
 
 
 def _plain_signatures(t, label):
     """Signatures that several branches read: written once."""
-    return write_once(overlap.signature(_lines(t), ["o_custkey", "l_orderkey"], ["l_linenumber"], "l_returnflag", keep=["o_orderstatus"]), label)
+    return write_once(_of_orders(t, overlap.signature(t.lineitem, ["l_orderkey"], ["l_linenumber"], "l_returnflag")), label)
 
 
 _SIG = """sig AS (SELECT o_custkey, l_orderkey, o_orderstatus,

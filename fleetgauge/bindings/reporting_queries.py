@@ -149,10 +149,10 @@ def str7d(t):
 
 
 @bind("arr1_memberships", """
-SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS roles, count(DISTINCT event_type)::INTEGER AS role_count, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS flag_member
-FROM events WHERE value > 120 GROUP BY 1""")
+SELECT user_id, CAST(ts AS DATE) AS day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS roles, count(DISTINCT event_type)::INTEGER AS role_count, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS flag_member
+FROM events GROUP BY 1, 2""")
 def arr1(t):
-    return rep.memberships(t.events.filter("value > 120"), ["user_id"], "event_type", "error")
+    return rep.memberships(t.events.withColumn("day", F.to_date("ts")), ["user_id", "day"], "event_type", "error")
 
 
 @bind("arr2_route_list", """

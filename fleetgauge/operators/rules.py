@@ -112,6 +112,17 @@ IDLE_WAITS = [
     "SLEEP_MASTERUPGRADED", "SLEEP_MSDBSTARTUP", "SLEEP_SYSTEMTASK", "REDO_THREAD_PENDING_WORK",
     "FT_IFTS_SCHEDULER_IDLE_WAIT", "DIRTY_PAGE_POLL", "XIO_IDLE",
 ]
+# The waits left out of the total that parallelism waits are compared with.
+IDLE_WAITS_PARALLELISM = [
+    "SLEEP_TASK", "BROKER_TO_FLUSH", "BROKER_TASK_STOP", "CLR_AUTO_EVENT", "DISPATCHER_QUEUE_SEMAPHORE",
+    "FT_IFTS_SCHEDULER_IDLE_WAIT", "HADR_FILESTREAM_IOMGR_IOCOMPLETION", "HADR_WORK_QUEUE", "LAZYWRITER_SLEEP",
+    "LOGMGR_QUEUE", "ONDEMAND_TASK_QUEUE", "REQUEST_FOR_DEADLOCK_SEARCH", "RESOURCE_QUEUE", "SERVER_IDLE_CHECK",
+    "SLEEP_DBSTARTUP", "SLEEP_DCOMSTARTUP", "SLEEP_MASTERDBREADY", "SLEEP_MASTERMDREADY", "SLEEP_MASTERUPGRADED",
+    "SLEEP_MSDBSTARTUP", "SLEEP_SYSTEMTASK", "SLEEP_TEMPDBSTARTUP", "SNI_HTTP_ACCEPT", "SP_SERVER_DIAGNOSTICS_SLEEP",
+    "SQLTRACE_BUFFER_FLUSH", "SQLTRACE_INCREMENTAL_FLUSH_SLEEP", "WAIT_XTP_OFFLINE_CKPT_NEW_LOG", "WAITFOR",
+    "XE_DISPATCHER_WAIT", "XE_TIMER_EVENT", "BROKER_EVENTHANDLER", "CHECKPOINT_QUEUE", "DBMIRROR_EVENTS_QUEUE",
+    "SQLTRACE_WAIT_ENTRIES", "WAIT_XTP_CKPT_CLOSE",
+]
 IDLE_WAIT_PATTERNS = ["SLEEP_%", "SQLTRACE_%", "DBMIRROR_%"]
 
 

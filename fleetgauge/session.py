@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # keep splitting a skewed join even if that costs one more shuffle afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # hash-aggregate lists of up to this many groups before falling back to sorting
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     # merge sessions before the shuffle, so a hot entity sends few rows
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
