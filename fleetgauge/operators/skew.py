@@ -42,10 +42,14 @@ def _hottest(counted: DataFrame, keys: Sequence[str], hot_rows: int | None) -> D
             .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS))
 
 
-def _attach_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    renamed = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in keys])
-    return df.join(F.broadcast(renamed), cond, how).drop(*[f"_hot_{k}" for k in keys])
+def _with_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str, *columns: Column) -> DataFrame:
+    """`df` beside the hot-key list (its keys renamed to `_hot_*`), plus computed columns."""
+    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys])
+    return df.join(F.broadcast(hot), cond, how).select(*[df[c] for c in df.columns], *columns)
+
+
+def _named(hot: DataFrame, keys: Sequence[str], *columns: Column) -> DataFrame:
+    return hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], *columns)
 
 
 def _spread_columns(fact: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -67,15 +71,13 @@ def salted_join(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     keys = list(keys)
     limit = hot_rows or HOT_ROWS
     hot = hot_keys(fact, keys, limit) if counted is None else _hottest(counted, keys, limit)
-    hot = hot.select(*keys, F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
+    hot = _named(hot, keys, F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
     cheap = _spread_columns(fact, keys)
-    number = (F.xxhash64(*cheap) if cheap else F.lit(0)) + F.spark_partition_id()
-    left = (_attach_hot(fact, hot, keys, "left")
-            .withColumn("_salt", F.coalesce(F.pmod(number, F.col("_pieces")), F.lit(0)).cast("int"))
-            .drop("_pieces"))
-    right = (_attach_hot(lookup, hot, keys, "left")
-             .withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))))
-             .drop("_pieces").withColumnsRenamed({k: f"_r_{k}" for k in keys}))
+    number = (F.xxhash64(*[fact[c] for c in cheap]) if cheap else F.lit(0)) + F.spark_partition_id()
+    left = _with_hot(fact, hot, keys, "left", F.coalesce(F.pmod(number, F.col("_pieces")), F.lit(0)).cast("int").alias("_salt"))
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))
+    right = (_with_hot(lookup, hot, keys, "left", F.explode(every).alias("_r_salt"))
+             .withColumnsRenamed({k: f"_r_{k}" for k in keys}))
     same = [left[k].eqNullSafe(right[f"_r_{k}"]) if null_safe else left[k] == right[f"_r_{k}"] for k in keys]
     cond = reduce(lambda a, b: a & b, same, left["_salt"] == right["_r_salt"])
     return left.join(right, cond, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
@@ -129,21 +131,17 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans
     limit = hot_rows or HOT_ROWS
     kind = df.schema[order[0]].dataType
     low, high = _position(F.col("_low"), kind), _position(F.col("_high"), kind)
-    hot = hot_keys(df, keys, limit, order[0]).select(
-        *keys, low.alias("_low"),
+    hot = _named(
+        hot_keys(df, keys, limit, order[0]), keys, low.alias("_low"),
         F.least(F.ceil(F.col("_rows") / limit) * 4, F.lit(MAX_PIECES)).alias("_pieces"), high.alias("_high"))
     width = F.greatest((F.col("_high") - F.col("_low")) / F.col("_pieces"), F.lit(1e-6))
     # cold keys have no range and stay whole; rows without a time come first
     piece = F.when(F.col("_low").isNotNull(), F.coalesce(
         F.floor((_position(F.col(order[0]), kind) - F.col("_low")) / width) + 1, F.lit(0))).otherwise(0).cast("int")
-    extras = ["_low", "_high", "_pieces"]
-
-    rows = _attach_hot(df, hot, keys, "left").withColumn("_piece", piece).drop(*extras)
-    pieces = _attach_hot(df, hot, keys, "inner").withColumn("_piece", piece).drop(*extras)
-    parts = [rows.withColumn("_seed", F.lit(0))]
-    for number, scan in enumerate(scans, start=1):
-        parts.append(_seeds(pieces, keys, order, scan, df).withColumn("_seed", F.lit(number)))
-    seeded = reduce(lambda a, b: a.unionByName(b), parts)
+    parts = [_with_hot(df, hot, keys, "left", piece.alias("_piece"), F.lit(0).alias("_seed"))]
+    pieces = _with_hot(df, hot, keys, "inner", piece.alias("_piece"))
+    parts += [_seeds(pieces, keys, order, scan, df, number) for number, scan in enumerate(scans, start=1)]
+    seeded = reduce(lambda a, b: a.union(b), parts)
 
     outputs = []
     for number, scan in enumerate(scans, start=1):
@@ -162,7 +160,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans
 
 
 def _seeds(pieces: DataFrame, keys: list[str], order: list[str], scan: Scan,
-           template: DataFrame) -> DataFrame:
+           template: DataFrame, number: int) -> DataFrame:
     """One row per range and group: the last row and the maxima of all ranges before it."""
     if set(scan.previous.values()) & set(scan.prior_max.values()):
         raise ValueError("a column is either carried or maximised within one scan, not both")
@@ -190,7 +188,7 @@ def _seeds(pieces: DataFrame, keys: list[str], order: list[str], scan: Scan,
             out.append(F.col(f"_s_{f.name}").cast(f.dataType).alias(f.name))
         else:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return filled.filter(~F.col("_first")).select(*out, "_piece")
+    return filled.filter(~F.col("_first")).select(*out, "_piece", F.lit(number).alias("_seed"))
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
