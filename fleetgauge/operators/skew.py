@@ -145,16 +145,19 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans
 
     outputs = []
     for number, scan in enumerate(scans, start=1):
-        window = (Window.partitionBy(*keys, "_piece", *scan.by)
-                  .orderBy(F.desc("_seed"), *[F.col(c).asc_nulls_first() for c in order])
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        own = F.col("_seed").isin(0, number)
+        # seeds come before the rows, the scan's own seed last: the row before the first row is
+        # that seed, or the seed of another scan, which counts as nothing
+        seed = F.col("_seed")
+        own = seed.isin(0, number)
+        window = Window.partitionBy(*keys, "_piece", *scan.by).orderBy(
+            seed == 0, seed == number, *[F.col(c).asc_nulls_first() for c in order])
         if scan.previous:
             carried = F.struct(*[F.col(c).alias(o) for o, c in scan.previous.items()])
-            last = F.last(F.when(own, carried), ignorenulls=True).over(window)
-            outputs += [last.getField(o).alias(o) for o in scan.previous]
+            before = F.lag(F.when(own, carried)).over(window)
+            outputs += [before.getField(o).alias(o) for o in scan.previous]
         for out, column in scan.prior_max.items():
-            outputs.append(F.max(F.when(own, F.col(column))).over(window).alias(out))
+            frame = window.rowsBetween(Window.unboundedPreceding, -1)
+            outputs.append(F.max(F.when(own, F.col(column))).over(frame).alias(out))
     return (seeded.select(*df.columns, "_seed", *outputs)
             .filter(F.col("_seed") == 0).drop("_seed"))
 
