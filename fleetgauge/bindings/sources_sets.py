@@ -30,7 +30,8 @@ def src1(t):
     _export(t.events.filter(~one).select("user_id", "event_type", "event_id"), root, "srv_b")
     _export(t.spark.range(1).select(F.lit(sections.EMPTY_NOTE).alias("Note")), root, "srv_c")
     out = sections.read_section(t.spark, f"{root}/*/*.csv", "event_id BIGINT, event_type STRING, value DOUBLE, user_id BIGINT")
-    return out.withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz"))
+    # shown in UTC whatever the session's zone
+    return out.withColumn("collected_at", F.convert_timezone(None, F.lit("UTC"), F.col("collected_at").cast("timestamp_ntz")))
 
 
 @bind("src3_empty_marker", """
