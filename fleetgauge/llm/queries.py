@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontamination
+from fleetgauge.llm import decontamination, near_duplicates
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), shingle=4)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     return decontamination.contamination(decontamination.find_passages(docs, benchmark))
 
 
-OPERATORS = [op10_benchmark_decontamination]
+OPERATORS = [op1_minhash_near_duplicates, op10_benchmark_decontamination]
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
