@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,10 +46,13 @@ def fit_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder named by `spark.checkpoint.dir`.
 
-    Only where that setting is absent (tests) a local folder is made.
+    Only in local mode (tests), where driver and executor are one process, a local folder is
+    made if that setting is absent; anywhere else its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fleetgauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
