@@ -142,6 +142,27 @@ def gram_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray
     return mix((sums[end] - sums[start]) * _power(_INVERSE, total)[start] + length * np.uint64(0x2545F4914F6CDD1D)), start
 
 
-def binary_column(data: bytes | memoryview, offsets: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
-    """A binary (or list-like string) column straight from its buffers."""
-    return pa.Array.from_buffers(kind or pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+#: Compared numbers keep their position in this many low bits; longer inputs must be cut up.
+POSITION_BITS = 22
+
+
+def ranked(hashes: np.ndarray) -> np.ndarray:
+    """Hashes with their positions in the low bits: the smallest is the leftmost smallest."""
+    return (hashes >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | np.arange(len(hashes), dtype=np.uint64)
+
+
+def position(rank: np.ndarray) -> np.ndarray:
+    return (rank & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
+
+
+def sliding_min(ranks: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` neighbours: running minima inside blocks, forwards and back."""
+    n = len(ranks)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    blocks = -(-n // width)
+    padded = np.full(blocks * width, np.uint64(2**64 - 1))
+    padded[:n] = ranks
+    ahead = np.minimum.accumulate(padded.reshape(blocks, width), axis=1).reshape(-1)
+    back = np.minimum.accumulate(padded.reshape(blocks, width)[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n - width + 1], ahead[width - 1:n])

@@ -8,7 +8,6 @@ reach across them. Occurrences are located by sampled suffix positions and merge
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

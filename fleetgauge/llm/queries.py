@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontamination, near_duplicates
+from fleetgauge.llm import decontamination, near_duplicates, repeated_strings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,12 +17,17 @@ def op1_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"), shingle=4)
 
 
+def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return repeated_strings.digest(repeated_strings.cut_repeats(docs, repeated_strings.repeated_spans(docs)))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     return decontamination.contamination(decontamination.find_passages(docs, benchmark))
 
 
-OPERATORS = [op1_minhash_near_duplicates, op10_benchmark_decontamination]
+OPERATORS = [op1_minhash_near_duplicates, op9_repeated_strings, op10_benchmark_decontamination]
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
