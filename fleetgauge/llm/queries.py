@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontamination, near_duplicates, repeated_strings
+from fleetgauge.llm import decontamination, near_duplicates, passages, repeated_strings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"), shingle=4)
 
 
+def op6_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.shared_passages(_table(spark, folder, "documents"))
+
+
 def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return repeated_strings.digest(repeated_strings.cut_repeats(docs, repeated_strings.repeated_spans(docs)))
@@ -27,7 +31,7 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontamination.contamination(decontamination.find_passages(docs, benchmark))
 
 
-OPERATORS = [op1_minhash_near_duplicates, op9_repeated_strings, op10_benchmark_decontamination]
+OPERATORS = [op1_minhash_near_duplicates, op6_shared_passages, op9_repeated_strings, op10_benchmark_decontamination]
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
