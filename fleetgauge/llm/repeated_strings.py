@@ -83,7 +83,7 @@ def _anchors(rows: DataFrame, length: int, kmer: int) -> DataFrame:
 def _range_min(values: np.ndarray) -> list[list[int]]:
     """Tables of the minimum of 1, 2, 4, ... neighbours."""
     tables, step = [values.tolist()], 1
-    while 2 * step <= len(values):
+    while len(values) > step:
         values = np.minimum(values[:-step], values[step:])
         tables.append(values.tolist())
         step *= 2
