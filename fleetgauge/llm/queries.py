@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontamination, near_duplicates, passages, quality, repeated_strings
+from fleetgauge.llm import decontamination, near_duplicates, passages, personal_data, quality, repeated_strings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"), shingle=4)
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(_table(spark, folder, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_table(spark, folder, "documents"))
 
@@ -35,7 +39,7 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontamination.contamination(decontamination.find_passages(docs, benchmark))
 
 
-OPERATORS = [op1_minhash_near_duplicates, op5_quality_rules, op6_shared_passages, op9_repeated_strings, op10_benchmark_decontamination]
+OPERATORS = [op1_minhash_near_duplicates, op2_personal_data, op5_quality_rules, op6_shared_passages, op9_repeated_strings, op10_benchmark_decontamination]
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
