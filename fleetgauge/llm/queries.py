@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontamination, mixing, near_duplicates, passages, personal_data, quality, repeated_strings
+from fleetgauge.llm import decontamination, main_text, mixing, near_duplicates, passages, personal_data, quality, repeated_strings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(_table(spark, folder, "documents"))
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(_table(spark, folder, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_table(spark, folder, "documents"))
 
@@ -43,7 +47,7 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontamination.contamination(decontamination.find_passages(docs, benchmark))
 
 
-OPERATORS = [op1_minhash_near_duplicates, op2_personal_data, op3_source_mixing, op5_quality_rules, op6_shared_passages, op9_repeated_strings, op10_benchmark_decontamination]
+OPERATORS = [op1_minhash_near_duplicates, op2_personal_data, op3_source_mixing, op4_main_text, op5_quality_rules, op6_shared_passages, op9_repeated_strings, op10_benchmark_decontamination]
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
