@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import decontamination, main_text, mixing, near_duplicates, passages, personal_data, quality, repeated_strings
+from fleetgauge.llm import (
+    decontamination,
+    language_id,
+    main_text,
+    mixing,
+    near_duplicates,
+    passages,
+    personal_data,
+    quality,
+    repeated_strings,
+    url_filters,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +48,14 @@ def op6_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.shared_passages(_table(spark, folder, "documents"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(_table(spark, folder, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge_urls(_table(spark, folder, "pages"))
+
+
 def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return repeated_strings.digest(repeated_strings.cut_repeats(docs, repeated_strings.repeated_spans(docs)))
@@ -47,7 +66,10 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontamination.contamination(decontamination.find_passages(docs, benchmark))
 
 
-OPERATORS = [op1_minhash_near_duplicates, op2_personal_data, op3_source_mixing, op4_main_text, op5_quality_rules, op6_shared_passages, op9_repeated_strings, op10_benchmark_decontamination]
+OPERATORS = [
+    op1_minhash_near_duplicates, op2_personal_data, op3_source_mixing, op4_main_text, op5_quality_rules,
+    op6_shared_passages, op7_language_id, op8_url_filters, op9_repeated_strings, op10_benchmark_decontamination,
+]
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
