@@ -5,8 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, canonical
+from fleetgauge.bindings import all_oracles, all_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+ORACLES = entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in ORACLES}
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,7 @@ def duck(small):
 
 
 def test_every_query_has_a_statement():
+    assert set(all_queries()) == set(all_oracles())
     assert set(QUERIES) == set(ORACLES)
 
 
