@@ -16,6 +16,7 @@ from fleetgauge.llm import (
     personal_data,
     quality,
     repeated_strings,
+    statements,
     url_filters,
 )
 
@@ -77,4 +78,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_near_duplicates": statements.NEAR_DUPLICATES, "op9_repeated_strings": statements.REPEATED_STRINGS,
+            "op10_benchmark_decontamination": statements.DECONTAMINATION}
