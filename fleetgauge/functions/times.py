@@ -22,6 +22,12 @@ def before(as_of: str | datetime, **delta: float) -> Column:
     return instant(moment - timedelta(**delta))
 
 
+def read_instant(text: Column) -> Column:
+    """A UTC time stamp in ISO form, with or without fraction and Z; NULL for anything else."""
+    full = text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,9})?Z?$")
+    return F.when(full, F.regexp_replace(text, "Z$", "").try_cast("timestamp_ntz"))
+
+
 def boundary_count(unit: str, ts: Column) -> Column:
     """Number of `unit` boundaries since 1970-01-01 in the fields of `ts`."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")

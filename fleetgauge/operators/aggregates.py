@@ -12,7 +12,7 @@ from fleetgauge.functions.labels import band, flag
 from fleetgauge.functions.numbers import exact, int_div, percent, ratio, row_count
 from fleetgauge.functions.times import before
 from fleetgauge.operators.joins import attach_scalar
-from fleetgauge.operators.skew import attach_group
+from fleetgauge.operators.skew import attach_group, top_rows
 
 
 def count_if(cond: Column) -> Column:
@@ -47,10 +47,12 @@ def total_row(df: DataFrame, tasks: Column, total: Column, signal: Column, longe
     return agg.withColumns({"label": F.lit(label), "mean": ratio(F.col("total"), F.col("tasks"), zero=0)})
 
 
-def with_total(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column] | None = None) -> DataFrame:
-    """Groups and a total row with NULL keys; the total is taken from the groups."""
+def with_total(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Groups and a total row with NULL keys; the total is taken from the groups. With `by` one
+    total row for each of its groups."""
+    keys = [*by, *keys]
     details = df.groupBy(*keys).agg(row_count().alias("rows"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()])
-    return (details.groupingSets([list(keys), []], *keys)
+    return (details.groupingSets([keys, list(by)], *keys)
             .agg(F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in (sums or {})]))
 
 
@@ -59,13 +61,16 @@ def hour_of(ts: Column) -> Column:
 
 
 def hourly(df: DataFrame, ts: str, as_of, total: Column, runs: Column, hours: int = 24,
-           newest: int = 100) -> DataFrame:
-    """Activity per hour. The mean per run divides whole numbers row by row first."""
-    return (df.filter(F.col(ts) >= before(as_of, hours=hours))
-            .groupBy(hour_of(F.col(ts)).alias("hour"))
+           newest: int = 100, by: Sequence[str] = ()) -> DataFrame:
+    """Activity per hour, the newest hours only. The mean per run divides whole numbers row by row first.
+
+    `newest` hours in all, or with `by` (say, the server) for each group.
+    """
+    per_hour = (df.filter(F.col(ts) >= before(as_of, hours=hours))
+            .groupBy(*by, hour_of(F.col(ts)).alias("hour"))
             .agg(row_count().alias("entries"), F.sum(total).alias("total"), F.sum(runs).alias("runs"),
-                 ratio(F.sum(int_div(total, runs)), F.count(int_div(total, runs))).alias("mean_per_run"))
-            .orderBy(F.desc("hour")).limit(newest))
+                 ratio(F.sum(int_div(total, runs)), F.count(int_div(total, runs))).alias("mean_per_run")))
+    return top_rows(per_hour, by, [F.desc("hour")], newest) if by else per_hour.orderBy(F.desc("hour")).limit(newest)
 
 
 def category_impact(df: DataFrame, category: str, total: Column, plan: str, query: str) -> DataFrame:

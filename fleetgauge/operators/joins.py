@@ -37,14 +37,20 @@ def coverage(entities: DataFrame, facts: DataFrame, keys: Sequence[str],
 
 
 def coverage_gap(actual: DataFrame, expected: Sequence, key: str, active: Column,
-                 label: str = "COVERAGE GAP") -> DataFrame:
-    """Actual rows, then one row for each expected value without an active actual row."""
+                 label: str = "COVERAGE GAP", by: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
+    """Actual rows, then one row for each expected value without an active actual row.
+
+    With `by` (say, the server) every group is looked at by itself. `groups` names those that may
+    have no actual row at all and so lack everything; the groups of `actual` are always in.
+    """
     spark = actual.sparkSession
     kind = actual.schema[key].dataType
-    wanted = (spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in expected])).alias(key))
+    every = actual.select(*by).union(groups.select(*by)) if groups is not None else actual.select(*by)
+    every = every.distinct() if by else spark.range(1)
+    wanted = (every.select(*by, F.explode(F.array(*[F.lit(v) for v in expected])).alias(key))
               .withColumn(key, F.col(key).cast(kind)))
-    present = actual.filter(active & F.col(key).isin(*expected)).select(key).distinct()
-    gaps = (wanted.join(present, key, "left_anti")
+    present = actual.filter(active & F.col(key).isin(*expected)).select(*by, key).distinct()
+    gaps = (wanted.join(present, [*by, key], "left_anti")
             .withColumn("row_kind", F.concat(F.lit(label + ": "), F.col(key).cast("string"))))
     return (actual.withColumn("row_kind", F.lit("ACTUAL"))
             .unionByName(gaps, allowMissingColumns=True))

@@ -33,11 +33,15 @@ LOG_REUSE_RANK = {"LOG_BACKUP": 1, "ACTIVE_TRANSACTION": 2, "AVAILABILITY_REPLIC
 
 
 def net_top(df: DataFrame, keys: Sequence[str], user: tuple[str, str], internal: tuple[str, str], n: int = 20,
-            tie: Sequence[str] = ()) -> DataFrame:
-    """Largest net consumers: allocated minus released pages, positive only, pages as MB."""
+            tie: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Largest net consumers: allocated minus released pages, positive only, pages as MB.
+
+    `n` rows in all, or with `by` (say, the server) for each group.
+    """
     net = lambda pair: F.col(pair[0]) - F.col(pair[1])
     rows = df.withColumns({"user_net": net(user), "internal_net": net(internal),
                            "total_net": net(user) + net(internal)})
-    return (rows.filter(F.col("total_net") > 0)
-            .withColumn("total_net_mb", ratio(F.col("total_net"), F.lit(128)))
-            .orderBy(F.desc("total_net"), *keys, *tie).limit(n))
+    rows = rows.filter(F.col("total_net") > 0).withColumn("total_net_mb", ratio(F.col("total_net"), F.lit(128)))
+    if by:
+        return top_rows(rows, by, [F.desc("total_net"), *[F.col(c) for c in (*keys, *tie) if c not in by]], n)
+    return rows.orderBy(F.desc("total_net"), *keys, *tie).limit(n)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import band, flag
 from fleetgauge.functions.numbers import int_div, pages_to_mb, percent, ratio, row_count, whole_ratio
-from fleetgauge.functions.times import boundary_diff, instant, unpack_datetime, unpack_duration
+from fleetgauge.functions.times import boundary_diff, instant, read_instant, unpack_datetime, unpack_duration
 from fleetgauge.operators.skew import Scan, ordered_scan, salted_join, top_rows
 
 
@@ -132,21 +132,37 @@ def statement_census(df: DataFrame, text: str, start: Column, end: Column, cost:
             .agg(row_count().alias("runs"), F.sum(cost).alias("total_cost"), F.max(cost).alias("max_cost")))
 
 
+# Kinds of locked resources in a deadlock report.
+LOCK_KINDS = ["keylock", "pagelock", "ridlock", "objectlock", "rowgrouplock", "hobtlock", "exchangeEvent", "metadatalock", "applicationlock"]
+
+
 def xml_events(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per event of an event document: time, victim, first object, process count.
 
-    Documents that are not well-formed give no rows.
+    An event holds its victim and processes directly, or a whole deadlock report below
+    `data/value`; a document is a list of events or a single one. Documents that are not
+    well-formed give no rows, odd time stamps no time. With locks of several kinds the first
+    object is that of the first kind in `LOCK_KINDS`.
     """
+    locks = ", ".join(f"{kind} array<struct<_objectname string>>" for kind in LOCK_KINDS)
+    report = (f"struct<`victim-list` struct<victimProcess array<struct<_id string>>>, `process-list` struct<process array<struct<_id string>>>, "
+              f"`resource-list` struct<{locks}>>")
     shape = ("event array<struct<_name string, _timestamp string, victim struct<_id string>, "
-             "process array<struct<_id string, _object string>>>>")
-    doc = F.from_xml(F.col(column), shape, {"mode": "PERMISSIVE", "attributePrefix": "_"})
+             f"process array<struct<_id string, _object string>>, data array<struct<value struct<deadlock {report}>>>>>")
+    text = F.col(column)
+    single = text.rlike(r"^\s*(<\?xml[^>]*\?>)?\s*<event[\s>]")
+    listed = F.when(single, F.concat(F.lit("<events>"), F.regexp_replace(text, r"^\s*<\?xml[^>]*\?>", ""), F.lit("</events>"))).otherwise(text)
+    doc = F.from_xml(listed, shape, {"mode": "PERMISSIVE", "attributePrefix": "_"})
     event = df.select(*keep, F.explode(doc.getField("event")).alias("e"))
-    first = F.try_element_at(F.col("e.process"), F.lit(1))
+    one = lambda c: F.try_element_at(c, F.lit(1))
+    event = event.withColumn("d", one(F.filter("e.data.value.deadlock", lambda x: x.isNotNull())))
+    objects = [one(F.col(f"d.`resource-list`.{kind}")).getField("_objectname") for kind in LOCK_KINDS]
     return event.select(
         *keep, F.col("e._name").alias("event_name"),
-        F.to_timestamp_ntz(F.col("e._timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("event_time"),
-        F.col("e.victim._id").alias("victim"), first.getField("_object").alias("first_object"),
-        F.coalesce(F.size("e.process"), F.lit(0)).alias("processes"))
+        read_instant(F.col("e._timestamp")).alias("event_time"),
+        F.coalesce("e.victim._id", one(F.col("d.`victim-list`.victimProcess")).getField("_id")).alias("victim"),
+        F.coalesce(one(F.col("e.process")).getField("_object"), *objects).alias("first_object"),
+        F.coalesce(F.size("e.process"), F.size("d.`process-list`.process"), F.lit(0)).alias("processes"))
 
 
 def memberships(df: DataFrame, keys: Sequence[str], role: str, watched: str, out: str = "flag_member") -> DataFrame:

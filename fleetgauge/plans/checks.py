@@ -174,7 +174,8 @@ def _(t, now):
 
 @check("06_02", "temp space by session")
 def _(t, now):
-    return {"sessions": ranking.net_top(t["fact_session"], [*S, "session_id"], ("user_alloc", "user_dealloc"), ("internal_alloc", "internal_dealloc")),
+    users = t["fact_session"].filter("session_id > 50")
+    return {"sessions": ranking.net_top(users, [*S, "session_id"], ("user_alloc", "user_dealloc"), ("internal_alloc", "internal_dealloc"), by=S),
             "open": rules.age_flags(t["fact_session"].filter("transaction_begin_time is not null"), "transaction_begin_time", now, size="log_bytes_used")}
 
 
@@ -257,14 +258,14 @@ def _(t, now):
 
 @check("08_03", "work per hour")
 def _(t, now):
-    return {"hours": aggregates.hourly(t["fact_query_stats"], "last_execution_time", now, F.col("worker_time"), F.col("execution_count"))}
+    return {"hours": aggregates.hourly(t["fact_query_stats"], "last_execution_time", now, F.col("worker_time"), F.col("execution_count"), by=S)}
 
 
 @check("08_04", "plan cache and spills")
 def _(t, now):
     mix = aggregates.cache_mix(t["fact_cached_plan"], "plan_type", F.col("use_count"), F.col("size_bytes"), by=S)
     return {"totals": mix.totals, "types": mix.by_type, "grants": rules.grant_flags(t["fact_memory_grant"], "granted_kb", "used_kb", "grant_time"),
-            "spills": ranking.top_k(t["fact_query_stats"].filter("spills > 0"), [F.desc("spills"), F.col("query_hash")], 20)}
+            "spills": ranking.top_k_per(t["fact_query_stats"].filter("spills > 0"), S, [F.desc("spills"), F.col("query_hash")], 20)}
 
 
 @check("09_01", "query waits by category")
@@ -314,7 +315,7 @@ def _(t, now):
 @check("10_03", "deadlocks per day")
 def _(t, now):
     events = reporting.xml_events(t["fact_event_document"], "document", S)
-    return {"events": events, "per_day": aggregates.with_total(events.withColumn("day", F.to_date("event_time")), ["day"])}
+    return {"events": events, "per_day": aggregates.with_total(events.withColumn("day", F.to_date("event_time")), ["day"], by=S)}
 
 
 # indexes and statistics ------------------------------------------------------------------
@@ -559,8 +560,8 @@ def _(t, now):
 def _(t, now):
     a = t["fact_alert"]
     # Severities and messages that need an alert.
-    return {"severities": joins.coverage_gap(a, list(range(19, 26)), "severity", (F.col("enabled") == 1) & (F.col("message_id") == 0)),
-            "messages": joins.coverage_gap(a, [823, 824, 825, 9002], "message_id", F.col("enabled") == 1),
+    return {"severities": joins.coverage_gap(a, list(range(19, 26)), "severity", (F.col("enabled") == 1) & (F.col("message_id") == 0), by=S, groups=t["dim_instance"]),
+            "messages": joins.coverage_gap(a, [823, 824, 825, 9002], "message_id", F.col("enabled") == 1, by=S, groups=t["dim_instance"]),
             "methods": rules.bit_census(a, "notify_mask", rules.NOTIFY_BITS, S)}
 
 
@@ -607,8 +608,8 @@ def _(t, now):
 
 @check("19_03", "send and redo queues")
 def _(t, now):
-    r = t["fact_replica_db"].filter(~F.col("is_local"))
-    return {"send": reporting.catch_up(r, R, F.col("send_queue"), F.col("send_rate"), whole=True), "redo": reporting.catch_up(r, R, F.col("redo_queue"), F.col("redo_rate"), whole=True)}
+    r, per = t["fact_replica_db"].filter(~F.col("is_local")), [*R, "database_name"]
+    return {"send": reporting.catch_up(r, per, F.col("send_queue"), F.col("send_rate"), whole=True), "redo": reporting.catch_up(r, per, F.col("redo_queue"), F.col("redo_rate"), whole=True)}
 
 
 @check("19_05", "backup preference")

@@ -29,7 +29,8 @@ def findings(df: DataFrame, check: str, entity: Sequence[str], flags: Sequence[s
             return F.when(~F.col(c).isin("", "OK", "N/A", "N"), F.col(c))
         return F.when(F.col(c) != 0, F.col(c).cast("string"))
     hits = F.array_compact(F.array(*[F.when(value(c).isNotNull(), F.struct(F.lit(c).alias("flag"), value(c).alias("value"))) for c in names]))
-    ident = F.concat_ws("/", *[F.col(e).cast("string") for e in entity])
+    # a missing part is named, so that it stays apart from a shorter entity
+    ident = F.concat_ws("/", *[F.coalesce(F.col(e).cast("string"), F.lit("<null>")) for e in entity])
     return (df.select(F.lit(check).alias("check_id"), ident.alias("entity"), F.explode(hits).alias("h"))
             .select("check_id", "entity", "h.flag", "h.value"))
 

@@ -32,13 +32,13 @@ def build_session(app: str = "fleetgauge", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def fit_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 << 20) -> int:
+def fit_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 << 20, most: int = 1_000_000) -> int:
     """Set the number of shuffle partitions for an input of known size.
 
     Adaptive execution merges small partitions afterwards but never makes more of them, so
-    start high: 100 TB asks for about 400,000 and is held at 100,000 to spare the driver.
+    start high: 100 TB asks for about 400,000. `most` is there to spare the driver beyond that.
     """
-    n = min(max(-(-input_bytes // target_bytes), spark.sparkContext.defaultParallelism), 100_000)
+    n = min(max(-(-input_bytes // target_bytes), spark.sparkContext.defaultParallelism), most)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.functions.labels import any_of
+from fleetgauge.functions.times import read_instant
 
 EMPTY_NOTE = "No data returned"
 META = "Note STRING, CollectedAt TIMESTAMP, SqlInstance STRING"
@@ -104,7 +105,7 @@ def parse_run_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """Run-log lines to columns; exported rows are read from the message. Other lines are dropped."""
     part = lambda i: F.regexp_extract(F.col(column), LOG_LINE, i)
     rows = lines.filter(F.col(column).rlike(LOG_LINE)).select(
-        F.to_timestamp_ntz(part(1), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("logged_at"),
+        read_instant(part(1)).alias("logged_at"),
         F.upper(F.trim(part(2))).alias("status"), part(3).alias("chapter"), part(4).alias("section"), part(5).alias("message"))
     count = F.regexp_extract("message", r"^Exported (\d+) rows", 1)
     return rows.withColumn("rows_exported", F.when(count != "", count.cast("bigint")))

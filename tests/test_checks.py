@@ -77,3 +77,46 @@ def test_packed_job_history(spark, empty):
     assert rows(run_check("17_03", t, NOW)["secrets"], "pattern", "texts") == [("-P ", 1)]
     assert rows(run_check("22_02", t, NOW)["jobs"], "category", "failures", "failure_flag") == [("LOG_BACKUP", 2, "HAS_FAILURES")]
     assert rows(run_check("17_01", t, NOW)["jobs"], "steps", "flag_never_run", "flag_personal_owner") == [(1, 0, 1)]
+
+
+def test_slow_data_and_log_files_are_flagged(spark, empty):
+    io = lambda kind, ms: {"database_id": 5, "file_id": 1, "file_class": kind, "num_of_reads": 100, "num_of_writes": 100, "io_stall_read_ms": ms * 100, "io_stall_write_ms": 0}
+    t = {**empty, "fact_file_io": frame(spark, "fact_file_io", io("ROWS", 500), io("ROWS", 20), io("LOG", 6), io("OTHER", 500))}
+    got = rows(run_check("05_05", t, NOW)["files"], "file_class", "read_ms", "flag_slow_read", "flag_slow_write")
+    assert got == [("LOG", 6, 1, 0), ("OTHER", 500, 0, 0), ("ROWS", 20, 0, 0), ("ROWS", 500, 1, 0)]
+
+
+def test_top_lists_are_per_server(spark, empty):
+    use = lambda s: [{"session_id": i, "user_alloc": i, "user_dealloc": 0, "internal_alloc": 0, "internal_dealloc": 0} for i in range(40, 40 + s)]
+    spill = lambda s: [{"query_hash": str(i), "spills": i, "execution_count": 1, "worker_time": 1, "last_execution_time": ts("2024-03-01 11:00")} for i in range(s)]
+    both = lambda table, make: frame(spark, table, *make(40), server="s1").union(frame(spark, table, *make(14), server="s2"))
+    t = {**empty, "fact_session": both("fact_session", use), "fact_query_stats": both("fact_query_stats", spill)}
+    count = lambda df: dict(rows(df.groupBy("sql_instance").count()))
+    sessions = run_check("06_02", t, NOW)["sessions"]
+    assert count(sessions) == {"s1": 20, "s2": 3} and sessions.filter("session_id <= 50").isEmpty()
+    assert count(run_check("08_04", t, NOW)["spills"]) == {"s1": 20, "s2": 13}
+    assert rows(run_check("08_03", t, NOW)["hours"], "sql_instance", "entries") == [("s1", 40), ("s2", 14)]
+
+
+def test_alert_gaps_of_one_server_are_not_filled_by_another(spark, empty):
+    alert = lambda s, v: frame(spark, "fact_alert", {"alert_id": v, "enabled": 1, "severity": v, "message_id": 0}, server=s)
+    servers = frame(spark, "dim_instance", {}, server="s1").union(frame(spark, "dim_instance", {}, server="s2")).union(frame(spark, "dim_instance", {}, server="s3"))
+    t = {**empty, "dim_instance": servers, "fact_alert": alert("s1", 19).union(alert("s2", 20))}
+    gaps = rows(run_check("17_05", t, NOW)["severities"].filter("row_kind <> 'ACTUAL'"), "sql_instance", "severity")
+    assert gaps == sorted([(s, v) for s, has in (("s1", 19), ("s2", 20), ("s3", None)) for v in range(19, 26) if v != has])
+
+
+def test_deadlocks_per_server_and_odd_times(spark, empty):
+    doc = "<r>" + "".join(f'<event name="d" timestamp="{t}"><victim id="v"/></event>' for t in ("2024-01-01T10:00:00.123Z", "2024-01-01T11:00:00Z", "soon")) + "</r>"
+    t = {**empty, "fact_event_document": frame(spark, "fact_event_document", {"document": doc}, server="s1").union(frame(spark, "fact_event_document", {"document": doc}, server="s2"))}
+    got = run_check("10_03", t, NOW)
+    assert rows(got["events"].filter("sql_instance = 's1'"), "event_time") == [(None,), (ts("2024-01-01 10:00:00.123"),), (ts("2024-01-01 11:00:00"),)] or \
+        {r.event_time for r in got["events"].filter("sql_instance = 's1'").collect()} == {None, ts("2024-01-01 10:00:00.123"), ts("2024-01-01 11:00:00")}
+    day = dt.date(2024, 1, 1)
+    assert set(rows(got["per_day"], "sql_instance", "day", "rows")) >= {("s1", day, 2), ("s2", day, 2)}
+
+
+def test_queues_are_per_database(spark, empty):
+    db = lambda n, q: {"group_name": "g", "replica": "r", "database_name": n, "is_local": False, "send_queue": q, "send_rate": 10, "redo_queue": q, "redo_rate": 10}
+    t = {**empty, "fact_replica_db": frame(spark, "fact_replica_db", db("a", 100), db("b", 500))}
+    assert {r.database_name for r in run_check("19_03", t, NOW)["send"].collect()} == {"a", "b"}

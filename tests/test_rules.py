@@ -241,3 +241,19 @@ def test_storage_rollup_counts_base_rows_only(spark):
 def test_landing_schemas_parse():
     for table in LANDING:
         assert "sql_instance" in landing_schema(table).names
+
+
+def test_odd_times_in_a_run_log_do_not_end_the_job(spark):
+    stamps = ["2024-01-01T10:00:00Z", "2024-01-01 10:00:00", "2024-01-01T10:00:00.5Z", "yesterday", "2024-13-01T10:00:00Z"]
+    lines = spark.createDataFrame([(f"[{t}] [ok] [01] [01_01] Exported 3 rows",) for t in stamps], "value string")
+    got = [r.logged_at for r in sections.parse_run_log(lines).collect()]
+    assert [g is None for g in got] == [False, False, False, True, True] and got[0] == got[1]
+
+
+def test_deadlock_reports_below_their_event(spark):
+    report = ('<event name="xml_deadlock_report" timestamp="2024-01-01T10:00:00.123Z"><data name="xml_report"><value><deadlock><victim-list><victimProcess id="p1"/></victim-list>'
+              '<process-list><process id="p1"><executionStack/></process><process id="p2"/></process-list>'
+              '<resource-list><keylock objectname="a.b.c"/><pagelock objectname="x"/></resource-list></deadlock></value></data></event>')
+    docs = spark.createDataFrame([(1, report), (2, f"<r>{report}{report}</r>"), (3, f'<?xml version="1.0"?>{report}'), (4, "<event"), (5, None)], "k int, x string")
+    got = rows(reporting.xml_events(docs, "x", ["k"]), "k", "victim", "first_object", "processes")
+    assert got == [(k, "p1", "a.b.c", 2) for k in (1, 2, 2, 3)]
