@@ -1,7 +1,9 @@
 """The operators on documents, against brute force on awkward texts and on a whole small table."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 from fleetgauge.llm import decontamination, language_id, mixing, near_duplicates, passages, personal_data, quality, queries, repeated_strings
@@ -157,6 +159,35 @@ def test_shared_passages(spark):
     assert not alone & {r.doc_id for r in found}
 
 
+@pytest.mark.parametrize("lengths, gap", [((60, 60), 60), ((200, 200), 300), ((60, 80, 60), 60), ((200, 200, 70), 400), ((55, 300), 10)])
+def test_ordered_passages_of_one_pair(spark, lengths, gap):
+    """Texts of words of their own, but for exact passages in the same order in both."""
+    one, two, want = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(30)], []
+    for n, length in enumerate(lengths):
+        want.append((len(one), len(one) + length, len(two), len(two) + length))
+        same = [f"w{n}x{i}" for i in range(length)]
+        one += same + [f"c{n}x{i}" for i in range(gap)]
+        two += same + [f"d{n}x{i}" for i in range(gap)]
+    found = passages.shared_passages(spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")).collect()
+    if gap == 10:  # the longest similar part is the whole
+        want = [(want[0][0], want[-1][1], want[0][2], want[-1][3])]
+    assert sorted((r.other_start, r.other_stop, r.start, r.stop) for r in found) == want
+    assert all(r.n_equal == sum(lengths) if gap == 10 else r.n_equal == r.stop - r.start for r in found)
+
+
+def test_gaps_count_all_equal_words():
+    rng = random.Random(3)
+    for n, m, kinds in ((30, 40, 5), (250, 230, 300), (1, 1, 2), (300, 10, 4)):
+        x, y = [rng.randrange(kinds) for _ in range(n)], [rng.randrange(kinds) for _ in range(m)]
+        table = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+        assert passages._lcs(x, y) == table[n][m]
+    x = np.arange(0, 900, 3)
+    assert passages._between(np.concatenate([[1], x, [2]]), np.concatenate([[4], np.arange(900), [5]])) == len(x)
+
+
 def test_passages_of_an_empty_table(spark):
     assert passages.shared_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
