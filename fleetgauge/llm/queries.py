@@ -13,11 +13,14 @@ from fleetgauge.llm import (
     mixing,
     near_duplicates,
     passages,
+    periodic_runs,
     personal_data,
     quality,
+    quality_model,
     repeated_strings,
     statements,
     url_filters,
+    whitening,
 )
 
 
@@ -67,9 +70,22 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return decontamination.contamination(decontamination.find_passages(docs, benchmark))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_tails(_table(spark, folder, "documents"))))
+
+
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.rate_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 OPERATORS = [
     op1_minhash_near_duplicates, op2_personal_data, op3_source_mixing, op4_main_text, op5_quality_rules,
     op6_shared_passages, op7_language_id, op8_url_filters, op9_repeated_strings, op10_benchmark_decontamination,
+    op11_embedding_whitening, op12_periodic_runs, op13_quality_classifier,
 ]
 
 

@@ -208,4 +208,4 @@ def test_language_without_letters_or_labels(spark):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries.llm_queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.llm_queries()] == [f"op{i}" for i in range(1, 14)]
