@@ -240,7 +240,7 @@ def test_statistics_of_texts(spark):
     s = found[2]
     assert s["words"] == 9 and s["lines"] == 3 and s["distinct_words"] == 6 / 9 and s["capital_words"] == 2 / 9 and s["upper_words"] == 1 / 9
     assert s["letterless_words"] == 1 / 9 and s["marked_words"] == 3 / 9 and s["repeated_lines"] == 1 / 3 and s["bytes"] == 29 and s["digit"] == 1 / 29
-    assert abs(s["characters_per_word"] - 21 / 9) < 1e-12
+    assert abs(s["characters_per_word"] - 20 / 9) < 1e-12
     assert found[3]["top_word"] == 1 and abs(found[3]["repeated_grams"] - 2 / 3) < 1e-12
 
 
