@@ -49,6 +49,28 @@ def dup2(t):
     return overlap.duplicate_pairs(write_once(_signatures(t), "dup2"), ["o_custkey"], "l_orderkey", "o_orderstatus")
 
 
+@bind("dup2_families", f"""
+WITH {_SIG}, k AS (SELECT *, string_split(keys, ',') AS l FROM sig WHERE keys <> ''),
+ d AS (SELECT DISTINCT o_custkey, l FROM k),
+ ev AS (SELECT o_custkey, l, l AS s FROM d UNION ALL SELECT o_custkey, l, list_append(l, chr(1114111)) FROM d),
+ n AS (SELECT o_custkey, l, row_number() OVER (ORDER BY o_custkey, s) AS place FROM ev),
+ t AS (SELECT o_custkey, l, min(place) AS entry, max(place) AS exit FROM n GROUP BY ALL)
+SELECT k.o_custkey, l_orderkey, entry, exit, min(l_orderkey) OVER same AS first_equal, count(*) OVER same AS set_size, (SELECT count(*) FROM d WHERE d.o_custkey = k.o_custkey AND len(d.l) > len(k.l) AND d.l[1:len(k.l)] = k.l) AS longer_lists
+FROM k JOIN t ON t.o_custkey = k.o_custkey AND t.l = k.l WINDOW same AS (PARTITION BY k.o_custkey, keys, inc, o_orderstatus)""")
+def dup2_families(t):
+    return overlap.duplicate_families(write_once(_signatures(t), "dup2"), ["o_custkey"], "l_orderkey", "o_orderstatus")
+
+
+@bind("dup2_all_pairs", f"""
+WITH {_SIG}, k AS (SELECT * FROM sig WHERE keys <> ''),
+ p AS (SELECT a.o_custkey, a.l_orderkey AS index_1, b.l_orderkey AS index_2, CASE WHEN a.keys = b.keys AND a.inc = b.inc AND a.o_orderstatus = b.o_orderstatus THEN 'EXACT_DUPLICATE'
+         WHEN b.keys LIKE a.keys || ',%' THEN 'INDEX1_IS_PREFIX' WHEN a.keys LIKE b.keys || ',%' THEN 'INDEX2_IS_PREFIX' END AS duplicate_type
+       FROM k a JOIN k b ON a.o_custkey = b.o_custkey AND a.l_orderkey < b.l_orderkey)
+SELECT * FROM p WHERE duplicate_type IS NOT NULL""")
+def dup2_all_pairs(t):
+    return overlap.family_pairs(write_once(dup2_families(t), "families"), ["o_custkey"], "l_orderkey")
+
+
 @bind("dup3_overlapping_stats", """
 WITH sig AS (SELECT o_custkey, l_orderkey, o_orderstatus, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS list FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
  n AS (SELECT o_custkey, list, o_orderstatus, count(*) AS set_size FROM sig GROUP BY 1, 2, 3)
@@ -84,14 +106,29 @@ def dup4(t):
             .withColumn("wanted", F.array_join("wanted_keys", ",")).drop("wanted_keys"))
 
 
-@bind("dup5_evidence_text", f"""WITH {_COMPARED},
- r AS (SELECT o_custkey, wk, string_agg(first_name || CASE WHEN n > 1 THEN ' +' || (n - 1) || ' more' ELSE '' END || ' [' || match_type || '; prefix=' || p || ']', ' | ' ORDER BY
-   CASE match_type WHEN 'EXACT_KEY_MATCH' THEN 1 WHEN 'MISSING_IS_PREFIX_OF_EXISTING' THEN 2 WHEN 'EXISTING_IS_PREFIX_OF_MISSING' THEN 3 WHEN 'PARTIAL_LEADING_MATCH' THEN 4 ELSE 5 END, p DESC, first_name) AS evidence FROM c GROUP BY 1, 2)
+_MATCHES = """
+ a AS (SELECT o_custkey, wk, ek, name, p, CASE WHEN p = len(wk) AND p = len(ek) THEN 'EXACT_KEY_MATCH' WHEN p = len(ek) THEN 'EXISTING_IS_PREFIX_OF_MISSING' WHEN p = len(wk) THEN 'MISSING_IS_PREFIX_OF_EXISTING'
+          WHEN p = 1 THEN 'SAME_FIRST_KEY_ONLY' ELSE 'PARTIAL_LEADING_MATCH' END AS match_type FROM m WHERE p > 0)"""
+
+
+@bind("dup4_all_matches", f"""WITH {_COMPARED}, {_MATCHES}
+SELECT o_custkey, array_to_string(wk, ',') AS wanted, name AS index_name, match_type, p::INTEGER AS prefix_length, array_to_string(ek, ',') AS existing_keys FROM a""")
+def dup4_all_matches(t):
+    wanted, existing = _wanted_existing(t)
+    existing = existing.withColumn("existing_keys", F.array_join("keys", ","))
+    return (overlap.matching_indexes(wanted, existing, ["o_custkey"], carry=["existing_keys"])
+            .withColumn("wanted", F.array_join("wanted_keys", ",")).drop("wanted_keys"))
+
+
+@bind("dup5_evidence_text", f"""WITH {_COMPARED}, {_MATCHES},
+ r AS (SELECT o_custkey, wk, string_agg(name || ' [' || match_type || CASE WHEN len(ek) > 3 THEN '; WIDE' ELSE '' END || '; prefix=' || p || '] (' || array_to_string(ek, ',') || ')', ' | ' ORDER BY
+   CASE match_type WHEN 'EXACT_KEY_MATCH' THEN 1 WHEN 'MISSING_IS_PREFIX_OF_EXISTING' THEN 2 WHEN 'EXISTING_IS_PREFIX_OF_MISSING' THEN 3 WHEN 'PARTIAL_LEADING_MATCH' THEN 4 ELSE 5 END, p DESC, name) AS evidence FROM a GROUP BY 1, 2)
 SELECT s.o_custkey, s.l_orderkey, coalesce(evidence, '[no relevant leading-key overlap]') AS evidence FROM sig s LEFT JOIN r ON r.o_custkey = s.o_custkey AND r.wk = s.keys WHERE s.o_orderstatus = 'F'""")
 def dup5(t):
     wanted, existing = _wanted_existing(t)
-    compared = overlap.compare_keys(wanted, existing, ["o_custkey"])
-    return overlap.evidence_text(wanted, compared, ["o_custkey"]).select("o_custkey", "l_orderkey", "evidence")
+    existing = existing.withColumns({"kind": F.when(F.size("keys") > 3, "WIDE"), "listed": F.concat(F.lit(" ("), F.array_join("keys", ","), F.lit(")"))})
+    matches = overlap.matching_indexes(wanted, existing, ["o_custkey"], carry=["kind", "listed"])
+    return overlap.evidence_text(wanted, matches, ["o_custkey"], details=F.col("kind"), tail=F.col("listed")).select("o_custkey", "l_orderkey", "evidence")
 
 
 @bind("dup6_benefit", """

@@ -21,20 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.functions.times import boundary_count
 
 HOT_ROWS = 5_000_000
 MAX_HOT_KEYS = 10_000
 MAX_PIECES = 4_096
+#: Rows of the sketch of a hot key's order, per range it is cut into: ranges are then even to within
+#: about a fifth.
+SKETCH_ROWS = 256
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None,
-             position: str | None = None) -> DataFrame:
-    """Keys with at least `hot_rows` rows, and how many; with `position` also its range."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    if position is not None:
-        aggs += [F.min(position).alias("_low"), F.max(position).alias("_high")]
-    return _hottest(df.groupBy(*keys).agg(*aggs), keys, hot_rows)
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """Keys with at least `hot_rows` rows, and how many."""
+    return _hottest(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, hot_rows)
 
 
 def _hottest(counted: DataFrame, keys: Sequence[str], hot_rows: int | None) -> DataFrame:
@@ -99,87 +97,117 @@ class Scan:
     """What an ordered pass should carry.
 
     `by`: extra grouping inside the entity. `previous`: output -> column of the row before.
-    `prior_max`: output -> column whose largest value before the row is wanted.
+    `prior_max`: output -> column whose largest value before the row is wanted. `prior_sum`: output ->
+    column whose sum before the row is wanted. `prior_known`: output -> column whose latest value that
+    is not NULL before the row is wanted.
     """
 
     previous: Mapping[str, str] = field(default_factory=dict)
     prior_max: Mapping[str, str] = field(default_factory=dict)
+    prior_sum: Mapping[str, str] = field(default_factory=dict)
+    prior_known: Mapping[str, str] = field(default_factory=dict)
     by: Sequence[str] = ()
 
+    def kinds(self) -> list[tuple[str, Mapping[str, str]]]:
+        return [("max", self.prior_max), ("sum", self.prior_sum), ("known", self.prior_known)]
 
-def _position(column: Column, kind: T.DataType) -> Column:
-    """A time or number as a double that keeps the order."""
-    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
-        return boundary_count("second", column.cast("timestamp_ntz")).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_timestamp(column).cast("double")
-    if isinstance(kind, T.NumericType):
-        return column.cast("double")
-    raise TypeError(f"cannot cut values of type {kind.simpleString()} into ranges")
+
+def range_starts(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SKETCH_ROWS) -> DataFrame:
+    """Hot keys with `_starts`: where each range of their order after the first begins.
+
+    The sketch of a key is what a hash of the order columns picks of its rows, with counts; it can be
+    taken in parts and merged by adding, and its size follows from the number of ranges. Ranges are cut
+    where its running count passes a multiple of a range's share: by time, and inside equal times by the
+    columns behind it, so neither a far-off time nor a crowded one makes a range large. Rows that are
+    equal in all order columns stay together.
+    """
+    keys, order = list(keys), list(order)
+    spot = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    share = F.least(F.lit(1.0), F.col("_pieces") * rows / F.col("_count"))
+    picked = _with_hot(df, hot, keys, "inner", F.col("_pieces"), share.alias("_share"))
+    picked = picked.filter(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    sketch = picked.groupBy(*keys, "_pieces", spot.alias("_spot")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_spot").rowsBetween(Window.unboundedPreceding, -1)
+    sketch = sketch.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(whole)})
+    part = lambda upto: F.floor(upto * F.col("_pieces") / F.col("_all"))
+    starts = sketch.filter((F.col("_before") > 0) & (part(F.col("_before")) < part(F.col("_before") + F.col("_n"))))
+    return starts.groupBy(*keys).agg(F.array_sort(F.collect_list("_spot")).alias("_starts"))
+
+
+def _place(starts: Column, spot: Column) -> Column:
+    """How many of the sorted `starts` are not after `spot`, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MAX_PIECES.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(starts)) & (F.get(starts, at + step - 1) <= spot), at + step).otherwise(at))
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
-                 hot_rows: int | None = None) -> DataFrame:
-    """Previous-row values and prior maxima per key in the given order (NULLs first).
+                 hot_rows: int | None = None, piece: str | None = None) -> DataFrame:
+    """Previous-row values, prior maxima, sums and known values per key in the given order (NULLs first).
 
-    A hot key is cut into ranges of its first order column. Each range is a window
+    A hot key is cut into even ranges of its order (`range_starts`). Each range is a window
     partition of its own and starts with one seed row that carries what the ranges before
     it left behind; the seeds are an aggregate with at most one row per range and group.
-    Everything runs in one shuffle, on (keys, range).
+    Everything runs in one shuffle, on (keys, range). `piece` names a column for the number of the
+    range (0 for keys that are not cut); the result stays dealt out by keys and range.
     """
     keys, order = list(keys), list(order)
     limit = hot_rows or HOT_ROWS
-    kind = df.schema[order[0]].dataType
-    low, high = _position(F.col("_low"), kind), _position(F.col("_high"), kind)
-    hot = _named(
-        hot_keys(df, keys, limit, order[0]), keys, low.alias("_low"),
-        F.least(F.ceil(F.col("_rows") / limit) * 4, F.lit(MAX_PIECES)).alias("_pieces"), high.alias("_high"))
-    width = F.greatest((F.col("_high") - F.col("_low")) / F.col("_pieces"), F.lit(1e-6))
-    # cold keys have no range and stay whole; rows without a time come first
-    piece = F.when(F.col("_low").isNotNull(), F.coalesce(
-        F.floor((_position(F.col(order[0]), kind) - F.col("_low")) / width) + 1, F.lit(0))).otherwise(0).cast("int")
-    parts = [_with_hot(df, hot, keys, "left", piece.alias("_piece"), F.lit(0).alias("_seed"))]
-    pieces = _with_hot(df, hot, keys, "inner", piece.alias("_piece"))
-    parts += [_seeds(pieces, keys, order, scan, df, number) for number, scan in enumerate(scans, start=1)]
+    counted = hot_keys(df, keys, limit)
+    pieces = F.least(F.ceil(F.col("_rows") / limit) * 4, F.lit(MAX_PIECES))
+    starts = range_starts(df, _named(counted, keys, pieces.alias("_pieces"), F.col("_rows").alias("_count")), keys, order)
+    hot = _named(starts, keys, F.col("_starts"))
+    # cold keys have no ranges and stay whole
+    spot = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    number = F.when(F.col("_starts").isNotNull(), _place(F.col("_starts"), spot) + 1).otherwise(0).cast("int")
+    parts = [_with_hot(df, hot, keys, "left", number.alias("_piece"), F.lit(0).alias("_seed"))]
+    cut = _with_hot(df, hot, keys, "inner", number.alias("_piece"))
+    parts += [_seeds(cut, keys, order, scan, df, n) for n, scan in enumerate(scans, start=1)]
     seeded = reduce(lambda a, b: a.union(b), parts)
 
     outputs = []
-    for number, scan in enumerate(scans, start=1):
+    for n, scan in enumerate(scans, start=1):
         # seeds come before the rows, the scan's own seed last: the row before the first row is
         # that seed, or the seed of another scan, which counts as nothing
         seed = F.col("_seed")
-        own = seed.isin(0, number)
+        own = seed.isin(0, n)
         window = Window.partitionBy(*keys, "_piece", *scan.by).orderBy(
-            seed == 0, seed == number, *[F.col(c).asc_nulls_first() for c in order])
+            seed == 0, seed == n, *[F.col(c).asc_nulls_first() for c in order])
         if scan.previous:
             carried = F.struct(*[F.col(c).alias(o) for o, c in scan.previous.items()])
             before = F.lag(F.when(own, carried)).over(window)
             outputs += [before.getField(o).alias(o) for o in scan.previous]
-        for out, column in scan.prior_max.items():
-            frame = window.rowsBetween(Window.unboundedPreceding, -1)
-            outputs.append(F.max(F.when(own, F.col(column))).over(frame).alias(out))
-    return (seeded.select(*df.columns, "_seed", *outputs)
+        frame = window.rowsBetween(Window.unboundedPreceding, -1)
+        over = {"max": lambda c: F.max(c), "sum": lambda c: F.sum(c), "known": lambda c: F.last(c, ignorenulls=True)}
+        for kind, wanted in scan.kinds():
+            outputs += [over[kind](F.when(own, F.col(c))).over(frame).alias(out) for out, c in wanted.items()]
+    kept = [F.col("_piece").alias(piece)] if piece else []
+    return (seeded.select(*df.columns, "_seed", *kept, *outputs)
             .filter(F.col("_seed") == 0).drop("_seed"))
 
 
 def _seeds(pieces: DataFrame, keys: list[str], order: list[str], scan: Scan,
            template: DataFrame, number: int) -> DataFrame:
-    """One row per range and group: the last row and the maxima of all ranges before it."""
-    if set(scan.previous.values()) & set(scan.prior_max.values()):
-        raise ValueError("a column is either carried or maximised within one scan, not both")
+    """One row per range and group: the last row, and the maxima, sums and known values of all ranges before it."""
+    wanted = [set(scan.previous.values()), *[set(m.values()) for _, m in scan.kinds()]]
+    if sum(map(len, wanted)) > len(set().union(*wanted)):
+        raise ValueError("a column is carried in one way only within one scan")
     group = [*keys, *scan.by]
-    aggs = [F.max(F.col(c)).alias(f"_m_{c}") for c in dict.fromkeys(scan.prior_max.values())]
+    place = F.struct(*order)
+    fold = {"max": lambda c: F.max(c), "sum": lambda c: F.sum(c), "known": lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place))}
+    aggs = [fold[kind](c).alias(f"_{kind}_{c}") for kind, columns in scan.kinds() for c in dict.fromkeys(columns.values())]
     carried = list(dict.fromkeys(scan.previous.values()))
     if carried:
-        aggs.append(F.max_by(F.struct(*carried), F.struct(*order)).alias("_tail"))
+        aggs.append(F.max_by(F.struct(*carried), place).alias("_tail"))
     tails = pieces.groupBy(*group, "_piece").agg(*(aggs or [F.count(F.lit(1)).alias("_n")]))
     earlier = (Window.partitionBy(*group).orderBy("_piece")
                .rowsBetween(Window.unboundedPreceding, -1))
-    columns = {}
-    for c in carried:
-        columns[c] = F.last("_tail").over(earlier).getField(c)
-    for c in dict.fromkeys(scan.prior_max.values()):
-        columns[c] = F.max(f"_m_{c}").over(earlier)
+    columns = {c: F.last("_tail").over(earlier).getField(c) for c in carried}
+    again = {"max": lambda c: F.max(c), "sum": lambda c: F.sum(c), "known": lambda c: F.last(c, ignorenulls=True)}
+    for kind, named in scan.kinds():
+        for c in dict.fromkeys(named.values()):
+            columns[c] = again[kind](F.col(f"_{kind}_{c}")).over(earlier)
     first = F.row_number().over(Window.partitionBy(*group).orderBy("_piece")) == 1
     filled = tails.select(*group, "_piece", first.alias("_first"),
                           *[v.alias(f"_s_{c}") for c, v in columns.items()])

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.labels import flag
 from fleetgauge.functions.numbers import exact, ratio, row_count, whole_ratio
 from fleetgauge.functions.times import boundary_diff, instant
 from fleetgauge.operators.joins import attach_scalar
-from fleetgauge.operators.skew import Scan, attach_group, ordered_scan, top_rows
+from fleetgauge.operators.skew import Scan, attach_group, ordered_scan, salted_join, top_rows
 
 
 def gaps(df: DataFrame, keys: Sequence[str], ts: str, start: str | None = None, tie: Sequence[str] = (),
@@ -25,6 +25,30 @@ def gaps(df: DataFrame, keys: Sequence[str], ts: str, start: str | None = None,
     return rows.withColumn("gap", boundary_diff(unit, F.col("previous"), F.col(start or ts)))
 
 
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, limit: str, hot_rows: int | None = None) -> DataFrame:
+    """Runs of events of a key in which each follows the one before by no more than `limit`: first_event,
+    last_event and events. Rows without a time belong to none.
+
+    A hot key is cut into ranges. The event before a range's first one says whether it goes on a run, so
+    all runs inside a range are whole; only the first and last of each range, two rows at most, are put
+    together across ranges.
+    """
+    keys = list(keys)
+    placed = ordered_scan(df.filter(F.col(ts).isNotNull()).select(*keys, ts), keys, [ts], [Scan(previous={"_before": ts})], hot_rows, "_range")
+    opens = F.coalesce(F.col(ts) > F.col("_before") + F.expr(f"INTERVAL {limit}"), F.lit(True))
+    order = Window.partitionBy(*keys, "_range").orderBy(ts, "_before").rowsBetween(Window.unboundedPreceding, 0)
+    # 0 for the run that a range takes over from the one before
+    numbered = placed.withColumn("_run", F.sum(flag(opens)).over(order))
+    part = numbered.groupBy(*keys, "_range", "_run").agg(F.min(ts).alias("first_event"), F.max(ts).alias("last_event"), row_count().alias("events"))
+    last = F.max("_run").over(Window.partitionBy(*keys, "_range"))
+    part = part.withColumn("_edge", (F.col("_range") > 0) & ((F.col("_run") == 0) | (F.col("_run") == last)))
+    across = Window.partitionBy(*keys).orderBy("_range", "_run").rowsBetween(Window.unboundedPreceding, 0)
+    edges = part.filter("_edge").withColumn("_joined", F.sum(flag(F.col("_run") > 0)).over(across))
+    merged = edges.groupBy(*keys, "_joined").agg(F.min("first_event").alias("first_event"), F.max("last_event").alias("last_event"), F.sum("events").alias("events"))
+    columns = [*keys, "first_event", "last_event", "events"]
+    return part.filter("not _edge").select(*columns).unionByName(merged.select(*columns))
+
+
 def gap_stats(gapped: DataFrame, keys: Sequence[str], ts: str, count_first: bool = False,
               limit: int = 60) -> DataFrame:
     """Count, mean, maximum and last time. The first event of a key is left out of the
@@ -84,9 +108,15 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return top_rows(df, keys, order, 1).drop("rn")
 
 
-def latest_ties(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """All rows at the latest time of their key; ties are kept."""
-    return top_rows(df, keys, [F.desc(ts)], 1, ties=True).drop("rn")
+def latest_ties(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int | None = None) -> DataFrame:
+    """All rows at the latest time of their key; ties are kept. Rows of a key without any time tie.
+
+    The latest time per key is an aggregate; the rows are met by key and time, so however many tie,
+    no task has to hold or sort them.
+    """
+    keys = list(keys)
+    top = df.groupBy(*keys).agg(F.max(ts).alias(ts))
+    return salted_join(df, top, [*keys, ts], "left_semi", hot_rows, null_safe=True).select(*df.columns)
 
 
 def last_n_stats(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ts: str, size: Column,
@@ -168,22 +198,22 @@ def exposure(entities: DataFrame, stats: DataFrame, keys: Sequence[str], as_of,
 
 def counter_delta(df: DataFrame, keys: Sequence[str], ts: str, counters: Mapping[str, str], epoch: str | None = None,
                   tie: Sequence[str] = (), hot_rows: int | None = None) -> DataFrame:
-    """Growth of cumulative counters between snapshots. After a restart (a smaller value or
-    another start time) the counter's own value is the growth."""
-    previous = {f"_p_{c}": c for c in counters.values()}
-    if epoch:
-        previous["_p_epoch"] = epoch
-    rows = ordered_scan(df, keys, [ts, *tie], [Scan(previous=previous)], hot_rows)
-    fell = None
+    """Growth of cumulative counters since each one's last known value. After a restart (a smaller
+    value of any counter, or another start time) the counter's own value is the growth.
+
+    A missing value has no growth, and what the counter grew by meanwhile is told at its next value.
+    """
+    known = {f"_p_{c}": c for c in counters.values()}
+    scan = Scan(prior_known=known, previous={"_p_epoch": epoch} if epoch else {})
+    rows = ordered_scan(df, keys, [ts, *tie], [scan], hot_rows)
+    fell = F.lit(False)
     for c in counters.values():
-        test = F.col(c) < F.col(f"_p_{c}")
-        fell = test if fell is None else fell | test
+        fell = fell | F.coalesce(F.col(c) < F.col(f"_p_{c}"), F.lit(False))
+    started = F.coalesce(*[F.col(p) for p in known]).isNotNull()
     if epoch:
-        fell = fell | ~F.col(epoch).eqNullSafe(F.col("_p_epoch"))
-    first = next(iter(counters.values()))
-    known = F.col(f"_p_{first}").isNotNull()
-    restarted = F.coalesce(known & fell, F.lit(False))
-    rows = rows.withColumn("flag_restart", flag(restarted))
-    deltas = {out: F.when(known, F.when(restarted, F.col(c)).otherwise(F.col(c) - F.col(f"_p_{c}")))
+        fell = fell | (started & ~F.col(epoch).eqNullSafe(F.col("_p_epoch")))
+    rows = rows.withColumn("flag_restart", flag(fell))
+    restarted = F.col("flag_restart") == 1
+    deltas = {out: F.when(F.col(f"_p_{c}").isNotNull() & F.col(c).isNotNull(), F.when(restarted, F.col(c)).otherwise(F.col(c) - F.col(f"_p_{c}")))
               for out, c in counters.items()}
-    return rows.withColumns(deltas).drop(*previous)
+    return rows.withColumns(deltas).drop(*known, "_p_epoch")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.labels import band, flag, like_any
 from fleetgauge.functions.numbers import exact, int_div, percent, row_count
 from fleetgauge.functions.times import before, boundary_diff, instant, unpack_datetime, unpack_duration
+from fleetgauge.session import write_once
 from fleetgauge.operators import aggregates, joins, overlap, ranking, reporting, rules, sets, windows
 from fleetgauge.operators.skew import salted_join
 from fleetgauge.plans import reports
@@ -336,10 +337,13 @@ def _(t, now):
     m = t["fact_missing_index"]
     wanted = overlap.benefit(m, "table_name", "equality_columns", "inequality_columns", "included_columns", F.col("user_seeks"), F.col("avg_total_user_cost"), F.col("avg_user_impact"))
     wanted = wanted.withColumn("keys", overlap.normalised_keys(F.concat_ws(",", "equality_columns", "inequality_columns")))
-    bare = overlap.signature(t["fact_index_column"], [*O, "index_id"], ["key_ordinal"], "column_name", None, F.col("is_included_column"), ["index_name"])
-    have = bare.withColumn("keys", F.transform("key_columns", lambda x: F.lower(x)))
-    compared = overlap.compare_keys(wanted, have, O)
-    return {"matches": compared, "wanted": overlap.evidence_text(wanted, compared, O)}
+    bare = overlap.signature(t["fact_index_column"], [*O, "index_id"], ["key_ordinal"], "column_name", None, F.col("is_included_column"), ["index_name", "type_desc", "is_unique", "is_primary_key"])
+    have = bare.withColumns({
+        "keys": F.transform("key_columns", lambda x: F.lower(x)),
+        "details": F.concat(F.col("type_desc"), F.when(F.col("is_unique"), ", UQ").otherwise(""), F.when(F.col("is_primary_key"), ", PK").otherwise("")),
+        "columns": F.concat(F.lit(" ("), F.array_join("key_columns", ", "), F.lit(")"), F.when(F.size("include_columns") > 0, F.concat(F.lit(" INCLUDE ("), F.array_join("include_columns", ", "), F.lit(")"))).otherwise(""))})
+    matches = overlap.matching_indexes(wanted, have, O, carry=["details", "columns"])
+    return {"matches": matches, "wanted": overlap.evidence_text(wanted, matches, O, details=F.col("details"), tail=F.col("columns"))}
 
 
 @check("11_03", "index use")
@@ -350,7 +354,9 @@ def _(t, now):
 
 @check("11_04", "duplicate indexes")
 def _(t, now):
-    return {"links": overlap.duplicate_pairs(_signatures(t), O, "index_id", "filter_definition")}
+    signatures = write_once(_signatures(t), "signatures")
+    families = write_once(overlap.duplicate_families(signatures, O, "index_id", "filter_definition"), "families")
+    return {"links": overlap.duplicate_pairs(signatures, O, "index_id", "filter_definition"), "indexes": families, "pairs": overlap.family_pairs(families, O, "index_id")}
 
 
 @check("11_05", "index conditions")

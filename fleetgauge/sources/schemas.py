@@ -49,7 +49,7 @@ LANDING = {
     # indexes and statistics
     "fact_index_stats": "database_name STRING, object_id INT, index_id INT, frag_pct DOUBLE, page_count BIGINT, fill_factor INT",
     "fact_index_column": "database_name STRING, object_id INT, index_id INT, index_name STRING, key_ordinal INT, column_name STRING, "
-                         "is_descending_key BOOLEAN, is_included_column BOOLEAN, filter_definition STRING",
+                         "is_descending_key BOOLEAN, is_included_column BOOLEAN, filter_definition STRING, type_desc STRING, is_unique BOOLEAN, is_primary_key BOOLEAN",
     "fact_index_usage": "database_name STRING, object_id INT, index_id INT, reads BIGINT, writes BIGINT",
     "fact_index_place": "database_name STRING, object_id INT, index_id INT, data_space_id INT",
     "fact_missing_index": "database_name STRING, object_id INT, table_name STRING, equality_columns STRING, inequality_columns STRING, "

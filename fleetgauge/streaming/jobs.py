@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.functions.numbers import row_count
+from fleetgauge.operators.windows import sessions
 from fleetgauge.session import scratch_dir
 
 
@@ -55,15 +56,13 @@ def stream_gap_alerts(sdf: DataFrame, keys: Sequence[str], ts: str, limit: str =
                         "first_event", "last_event", "silent_since_limit")
 
 
-def batch_gap_alerts(df: DataFrame, keys: Sequence[str], ts: str, limit: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+def batch_gap_alerts(df: DataFrame, keys: Sequence[str], ts: str, limit: str = "6 hours", late: str = "10 minutes", hot_rows: int | None = None) -> DataFrame:
+    """The same alerts from a table; the history of a hot entity is cut into ranges."""
     timed = _event_time(df, ts)
     mark = timed.agg((F.max(ts) - F.expr(f"INTERVAL {late}")).alias("m")).scalar()
-    silent = timed.groupBy(F.session_window(ts, limit).alias("w"), *keys).agg(row_count().alias("events"), F.max(ts).alias("last_event"))
-    # filter on the aggregate, not on the window: a filter on the window key would be moved
-    # below the merging of sessions
-    closed = silent.filter(F.col("last_event") + F.expr(f"INTERVAL {limit}") <= mark)
-    return _plain_times(closed.select(*keys, F.col("w.start").alias("first_event"), "last_event", F.col("w.end").alias("silent_since_limit"), "events"),
-                        "first_event", "last_event", "silent_since_limit")
+    found = sessions(timed, keys, ts, limit, hot_rows).withColumn("silent_since_limit", F.col("last_event") + F.expr(f"INTERVAL {limit}"))
+    closed = found.filter(F.col("silent_since_limit") <= mark)
+    return _plain_times(closed.select(*keys, "first_event", "last_event", "silent_since_limit", "events"), "first_event", "last_event", "silent_since_limit")
 
 
 def run_to_table(result: DataFrame, label: str, path: str | None = None, trigger: dict | None = None) -> DataFrame:

@@ -171,8 +171,15 @@ def test_key_comparison_kinds(spark):
     assert rows(cmp, "match_type", "prefix_length", "indexes", "first_index") == [
         ("EXACT_KEY_MATCH", 3, 1, "i1"), ("EXISTING_IS_PREFIX_OF_MISSING", 1, 1, "i4"), ("EXISTING_IS_PREFIX_OF_MISSING", 2, 1, "i2"),
         ("MISSING_IS_PREFIX_OF_EXISTING", 3, 1, "i3"), ("PARTIAL_LEADING_MATCH", 2, 1, "i6"), ("SAME_FIRST_KEY_ONLY", 1, 1, "i5")]
-    text = dict(rows(overlap.evidence_text(wanted, cmp, ["obj"]), "obj", "evidence"))
-    assert text[2] == "[no relevant leading-key overlap]" and text[1].startswith("i1 [EXACT_KEY_MATCH; prefix=3] | i3 [")
+    existing = existing.union(spark.createDataFrame([(1, ["a", "y"], "i9")], existing.schema)).withColumns({"kind": F.when(F.col("index_name") == "i1", "UQ"), "listed": F.concat(F.lit(" ("), F.array_join("keys", ","), F.lit(")"))})
+    matches = overlap.matching_indexes(wanted, existing, ["obj"], carry=["kind", "listed"])
+    text = dict(rows(overlap.evidence_text(wanted, matches, ["obj"], details=F.col("kind"), tail=F.col("listed")), "obj", "evidence"))
+    assert text[2] == "[no relevant leading-key overlap]"
+    assert text[1].split(" | ") == [
+        "i1 [EXACT_KEY_MATCH; UQ; prefix=3] (a,b,c)", "i3 [MISSING_IS_PREFIX_OF_EXISTING; prefix=3] (a,b,c,d)", "i2 [EXISTING_IS_PREFIX_OF_MISSING; prefix=2] (a,b)",
+        "i4 [EXISTING_IS_PREFIX_OF_MISSING; prefix=1] (a)", "i6 [PARTIAL_LEADING_MATCH; prefix=2] (a,b,x)", "i5 [SAME_FIRST_KEY_ONLY; prefix=1] (a,x)", "i9 [SAME_FIRST_KEY_ONLY; prefix=1] (a,y)"]
+    with pytest.raises(Exception, match="more than 3 indexes"):
+        overlap.evidence_text(wanted, matches, ["obj"], most=3).collect()
 
 
 def test_job_reliability(spark):

@@ -24,12 +24,15 @@ def events(spark, small):
 def test_ordered_scan_equals_plain_windows(events, hot_rows):
     w = Window.partitionBy("user_id").orderBy(F.col("ts").asc_nulls_first(), "event_id")
     wk = Window.partitionBy("user_id", "event_type").orderBy(F.col("ts").asc_nulls_first(), "event_id")
+    events = events.withColumns({"number": F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 7), "rare": F.when(F.col("event_id") % 19 == 0, F.col("event_id"))})
     plain = events.select("*", F.lag("ts").over(w).alias("p_ts"), F.lag("event_type").over(w).alias("p_type"),
                           F.lag("value").over(wk).alias("p_value"),
-                          F.max("event_id").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("top"))
+                          F.max("event_id").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("top"),
+                          F.sum("number").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("so_far"),
+                          F.last("rare", True).over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("p_rare"))
     split = ordered_scan(events, ["user_id"], ["ts", "event_id"], [
-        Scan(previous={"p_ts": "ts", "p_type": "event_type"}, prior_max={"top": "event_id"}),
-        Scan(previous={"p_value": "value"}, by=["event_type"])], hot_rows)
+        Scan(previous={"p_ts": "ts", "p_type": "event_type"}, prior_max={"top": "event_id"}, prior_sum={"so_far": "number"}),
+        Scan(previous={"p_value": "value"}, prior_known={"p_rare": "rare"}, by=["event_type"])], hot_rows)
     assert rows(split, *plain.columns) == rows(plain)
 
 
@@ -38,6 +41,47 @@ def test_ordered_scan_splits_the_hot_key(events):
     assert hot[0]["user_id"] == 7 and hot[0]["_rows"] * 3 >= events.count() * 0.9
 
 
+@pytest.mark.parametrize("times", ["one dated 1900", "all in one second", "half in one second", "even"])
+def test_ranges_of_a_hot_key_are_even(spark, times):
+    """20,000 rows of one key in 20 ranges: the largest holds at most twice the mean."""
+    even = F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).cast("timestamp_ntz")
+    same = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    when = {"one dated 1900": F.when(F.col("id") == 77, F.lit("1900-01-01 00:00:00").cast("timestamp_ntz")).otherwise(even),
+            "all in one second": same, "half in one second": F.when(F.col("id") % 2 == 0, same).otherwise(even), "even": even}[times]
+    table = spark.range(20_000).select(F.when(F.col("id") % 1000 == 3, None).otherwise(1).alias("k"), when.alias("ts"), (F.col("id") * 7919 % 20_011).alias("tie"))
+    cut = ordered_scan(table, ["k"], ["ts", "tie"], [Scan(previous={"p": "tie"})], 4000, "piece")
+    sizes = [r["count"] for r in cut.filter("k = 1").groupBy("piece").count().collect()]
+    assert 15 <= len(sizes) <= 21 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    w = Window.partitionBy("k").orderBy("ts", "tie")
+    assert rows(cut, "k", "ts", "tie", "p") == rows(table.withColumn("p", F.lag("tie").over(w)))
+    assert rows(cut.filter("k is null").select("piece").distinct()) == [(0,)]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 7, 60, 10_000_000])
+@pytest.mark.parametrize("limit", ["1 second", "3 hours", "2 days"])
+def test_sessions_of_a_hot_entity(events, hot_rows, limit):
+    """One entity has a third of all events; runs go on across ranges."""
+    found = windows.sessions(events, ["user_id"], "ts", limit, hot_rows)
+    plain = events.filter("ts is not null").groupBy(F.session_window(F.col("ts").cast("timestamp"), limit).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_event"), F.max("ts").alias("last_event"))
+    assert rows(found, "user_id", "first_event", "last_event", "events") == rows(plain, "user_id", "first_event", "last_event", "events")
+
+
+@pytest.mark.parametrize("hot_rows", [1, 25, 10_000_000])
+def test_ties_of_a_hot_key(events, hot_rows):
+    latest = events.withColumn("ts", F.when(F.col("user_id") == 7, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).otherwise(F.col("ts")))
+    plain = latest.withColumn("rk", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("ts")))).filter("rk = 1").drop("rk")
+    assert rows(windows.latest_ties(latest, ["user_id"], "ts", hot_rows)) == rows(plain)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, None])
+def test_counters_with_missing_values(spark, hot_rows):
+    listed = [(1, 1, 10, 5, "a"), (1, 2, None, 6, "a"), (1, 3, 17, None, "a"), (1, 4, 3, 9, "a"), (1, 5, None, None, "a"), (1, 6, 4, 1, "b"), (2, 1, None, None, "a"), (2, 2, 5, None, "a"), (2, 3, 9, 2, "a")]
+    table = spark.createDataFrame(listed, "k int, t int, x int, y int, e string")
+    found = windows.counter_delta(table, ["k"], "t", {"dx": "x", "dy": "y"}, "e", hot_rows=hot_rows)
+    assert rows(found, "k", "t", "dx", "dy", "flag_restart") == [
+        (1, 1, None, None, 0), (1, 2, None, 1, 0), (1, 3, 7, None, 0), (1, 4, 3, 9, 1), (1, 5, None, None, 0), (1, 6, 4, 1, 1), (2, 1, None, None, 0), (2, 2, None, None, 0), (2, 3, 4, None, 0)]
+
+
 @pytest.mark.parametrize("hot_rows", [1, 20, 10_000_000])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(events, hot_rows, how):

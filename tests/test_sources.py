@@ -56,7 +56,19 @@ def test_scratch_lies_below_the_named_folder(spark):
     assert rows(write_once(spark.range(3).toDF("n"), "t")) == [(0,), (1,), (2,)]
 
 
-def test_shuffle_size(spark):
+@pytest.fixture
+def shuffles(spark):
+    """The setting, put back whatever the test does."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    assert fit_shuffles(spark, 10 << 40) == 40_960 and fit_shuffles(spark, 100 << 40) == 100_000
+    yield lambda: spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shuffle_size(spark, shuffles):
+    assert fit_shuffles(spark, 10 << 40) == 40_960 and shuffles() == "40960"
+    assert fit_shuffles(spark, 100 << 40) == 409_600 and fit_shuffles(spark, 1 << 60) == 1_000_000
+    assert fit_shuffles(spark, 100 << 40, most=100_000) == 100_000 and shuffles() == "100000"
+
+
+def test_no_setting_is_left_behind(spark):
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
