@@ -6,9 +6,11 @@ ordered windows (one task would sort the whole key) and joins back to a per-key
 (one task would get the whole key, and the runtime skew join does not see through the
 aggregate). Both are handled here.
 
-`hot_keys` returns at most `MAX_HOT_KEYS` rows by construction, which is what makes its
-broadcast safe; a key that does not fit in the list holds less than 1 / MAX_HOT_KEYS of all
-rows and stays unsplit, which changes cost but not the result.
+Hot keys come from a frequent-items sketch over the hashes of the keys, filled where the rows are read
+and merged in two steps; the fact table itself is not shuffled for it. The sketch lists at most
+`SKETCH_KEYS` hashes, which is what makes its broadcast safe. A key it misses holds less than about a
+thousandth of all rows and stays unsplit, and one that is listed for nothing is split for nothing: both
+change cost, never the result.
 """
 
 from __future__ import annotations
@@ -23,25 +25,37 @@ from pyspark.sql import types as T
 
 
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
+#: Most keys that are split, counters of a sketch, and groups of tasks whose sketches are merged first.
+SKETCH_KEYS, SKETCH_ITEMS, SKETCH_GROUPS = 1_000, 4_096, 512
+#: Most ranges or parts of one key.
 MAX_PIECES = 4_096
 #: Rows of the sketch of a hot key's order, per range it is cut into: ranges are then even to within
 #: about a fifth.
 SKETCH_ROWS = 256
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """Keys with at least `hot_rows` rows, and how many."""
-    return _hottest(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, hot_rows)
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """`_hot`, the hash of a key, and `_rows`, about how many rows have it, for keys of about `hot_rows`
+    rows or more. `counted` are known row counts per key (`_rows`)."""
+    limit = hot_rows or HOT_ROWS
+    if counted is not None:
+        return (counted.filter(F.col("_rows") >= limit).select(F.xxhash64(*keys).alias("_hot"), "_rows")
+                .orderBy(F.desc("_rows"), "_hot").limit(SKETCH_KEYS).groupBy("_hot").agg(F.sum("_rows").alias("_rows")))
+    hashed = df.select(F.xxhash64(*keys).alias("_h"), (F.spark_partition_id() % SKETCH_GROUPS).alias("_task"))
+    parts = hashed.groupBy("_task").agg(F.expr(f"approx_top_k_accumulate(_h, {SKETCH_ITEMS})").alias("_s"))
+    # by a constant: an empty table has no group and no sketch
+    whole = parts.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_combine(_s, {SKETCH_ITEMS})").alias("_s"))
+    listed = whole.select(F.inline(F.expr(f"approx_top_k_estimate(_s, {SKETCH_KEYS})")).alias("_hot", "_rows"))
+    return listed.filter(F.col("_rows") >= limit)
 
 
-def _hottest(counted: DataFrame, keys: Sequence[str], hot_rows: int | None) -> DataFrame:
-    return (counted.filter(F.col("_rows") >= (hot_rows or HOT_ROWS))
-            .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS))
+def _marked(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str, *columns: Column) -> DataFrame:
+    """`df` beside the hot hashes, plus computed columns."""
+    return df.join(F.broadcast(hot), F.xxhash64(*[df[k] for k in keys]) == hot["_hot"], how).select(*[df[c] for c in df.columns], *columns)
 
 
 def _with_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], how: str, *columns: Column) -> DataFrame:
-    """`df` beside the hot-key list (its keys renamed to `_hot_*`), plus computed columns."""
+    """`df` beside a list by key (its keys renamed to `_hot_*`), plus computed columns."""
     cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys])
     return df.join(F.broadcast(hot), cond, how).select(*[df[c] for c in df.columns], *columns)
 
@@ -60,7 +74,7 @@ def salted_join(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
                 hot_rows: int | None = None, null_safe: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """Equi-join of a fact table to a lookup with few rows per key.
 
-    Rows of a hot key are spread over several partitions by two of their columns and the
+    Rows of a hot key (found in a pass over the key columns alone) are spread over several partitions by two of their columns and the
     number of their input partition (both the same when a task is run again), and only that
     key's lookup rows are repeated, once per piece. `how` is inner, left, left_semi or
     left_anti. NULL keys match only if `null_safe`. `counted` are known row counts per key
@@ -68,13 +82,12 @@ def salted_join(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     """
     keys = list(keys)
     limit = hot_rows or HOT_ROWS
-    hot = hot_keys(fact, keys, limit) if counted is None else _hottest(counted, keys, limit)
-    hot = _named(hot, keys, F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
+    hot = hot_keys(fact, keys, limit, counted).select("_hot", F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
     cheap = _spread_columns(fact, keys)
     number = (F.xxhash64(*[fact[c] for c in cheap]) if cheap else F.lit(0)) + F.spark_partition_id()
-    left = _with_hot(fact, hot, keys, "left", F.coalesce(F.pmod(number, F.col("_pieces")), F.lit(0)).cast("int").alias("_salt"))
+    left = _marked(fact, hot, keys, "left", F.coalesce(F.pmod(number, F.col("_pieces")), F.lit(0)).cast("int").alias("_salt"))
     every = F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))
-    right = (_with_hot(lookup, hot, keys, "left", F.explode(every).alias("_r_salt"))
+    right = (_marked(lookup, hot, keys, "left", F.explode(every).alias("_r_salt"))
              .withColumnsRenamed({k: f"_r_{k}" for k in keys}))
     same = [left[k].eqNullSafe(right[f"_r_{k}"]) if null_safe else left[k] == right[f"_r_{k}"] for k in keys]
     cond = reduce(lambda a, b: a & b, same, left["_salt"] == right["_r_salt"])
@@ -113,7 +126,8 @@ class Scan:
 
 
 def range_starts(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SKETCH_ROWS) -> DataFrame:
-    """Hot keys with `_starts`: where each range of their order after the first begins.
+    """Hot keys with `_starts`: where each range of their order after the first begins. `hot` has hashes
+    of keys, `_pieces` wanted and about how many rows (`_count`) each has.
 
     The sketch of a key is what a hash of the order columns picks of its rows, with counts; it can be
     taken in parts and merged by adding, and its size follows from the number of ranges. Ranges are cut
@@ -124,7 +138,7 @@ def range_starts(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequ
     keys, order = list(keys), list(order)
     spot = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     share = F.least(F.lit(1.0), F.col("_pieces") * rows / F.col("_count"))
-    picked = _with_hot(df, hot, keys, "inner", F.col("_pieces"), share.alias("_share"))
+    picked = _marked(df, hot, keys, "inner", F.col("_pieces"), share.alias("_share"))
     picked = picked.filter(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     sketch = picked.groupBy(*keys, "_pieces", spot.alias("_spot")).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
@@ -154,9 +168,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans
     """
     keys, order = list(keys), list(order)
     limit = hot_rows or HOT_ROWS
-    counted = hot_keys(df, keys, limit)
     pieces = F.least(F.ceil(F.col("_rows") / limit) * 4, F.lit(MAX_PIECES))
-    starts = range_starts(df, _named(counted, keys, pieces.alias("_pieces"), F.col("_rows").alias("_count")), keys, order)
+    starts = range_starts(df, hot_keys(df, keys, limit).select("_hot", pieces.alias("_pieces"), F.col("_rows").alias("_count")), keys, order)
     hot = _named(starts, keys, F.col("_starts"))
     # cold keys have no ranges and stay whole
     spot = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
