@@ -7,11 +7,15 @@ class from the start; classes that share a band are candidates:
 
 * first every class against the most central class of each of its bands, which is linear;
 * then, where a band still holds several components, their registers and, for likely pairs,
-  their sets are compared in blocks inside tasks; only links come out. A band of very many classes is first split by the crowded bands they share.
+  their sets are compared in blocks inside tasks; only links come out. A band of very many classes
+  is first split by set size, into ranges that any two similar sets have in common. What is still crowded
+  is compared in blocks all the same if its sets are small; large sets, which fill all registers, are split
+  further by the crowded bands they share.
 
 Candidates pass a size test and the collision-corrected register estimate, and are then
-confirmed on their full shingle sets. Two sets of similarity 0.8 share no band with probability
-5e-8, and fewer than three with 1e-5; more similar ones far less.
+confirmed on their full shingle sets. Two sets of similarity 0.8 that fill all registers share no band
+with probability 5e-8, and fewer than two with 1e-6; more similar ones far less. Small sets are never
+asked for more than one band in common.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ MANTISSA = 10
 SIMILARITY = 80
 #: Classes of one band that are compared in blocks; more, if not all linked, are split first.
 CROWD, BLOCK = 16_384, 512
+#: From this many shingles on a set fills nearly all registers, and bands in common may be counted on.
+FULL = 512
 #: Chance matches of one register pair, from the published approximation.
 COLLISION = 0.169919487159739 * 2.0**-MANTISSA
 SALTS = 32
@@ -151,27 +157,39 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
             .mapInArrow(confirm, "u binary, v binary"))
 
 
-def _across(rows: DataFrame, roots: DataFrame, reps: DataFrame, crowd: int, block: int) -> tuple[DataFrame, bool]:
+def _across(rows: DataFrame, roots: DataFrame, reps: DataFrame, percent: int, crowd: int, block: int, full: int) -> tuple[DataFrame, bool]:
     """Cells in which classes of different components that share a band meet, and whether each
     pair should be looked at in its first shared band only. From (key, _class, band).
 
-    Bands with more than `crowd` classes give way to the pairs, then triples of such bands that
-    a class has. The classes of a band are compared in blocks of about `block`: each class is
-    sent to the cells of its own block against every other. No list of pairs is made.
+    Bands with more than `crowd` classes are split into ranges of set size, each class standing in its own and
+    the next, so that sets of sizes within the similarity's ratio meet. Ranges that are still crowded are
+    compared in blocks if their sets are smaller than `full`; else they give way to the pairs of such bands
+    that a class has. The classes of a key are compared in blocks of about `block`: each class
+    is sent to the cells of its own block against every other. No list of pairs is made.
     """
     rows = rows.join(roots, rows["_class"] == roots["node"], "left").select("key", "_class", F.coalesce("root", "_class").alias("root"), "band")
-    parts, once = [], False
-    for level in (1, 2, 3):
+
+    def open_keys(rows: DataFrame, label: str) -> DataFrame:
         stats = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select(F.col("key").alias("_k"), "_n")
-        rows = write_once(rows.join(stats, rows["key"] == stats["_k"]).select("key", "_class", "root", "_n", "band"), f"bands-{level}")
-        parts.append(rows if level == 3 else rows.filter(F.col("_n") <= crowd))
-        crowded = rows.filter(F.col("_n") > crowd)
-        if level == 3 or crowded.isEmpty():
-            once = level == 1  # every shared band is compared, so its first one can report a pair
-            break
-        mine = crowded.groupBy("_class", "root").agg(F.array_sort(F.collect_set("key")).alias("_keys"))  # at most 32, then 496
-        rows = (mine.withColumn("one", F.explode("_keys")).withColumn("two", F.explode(F.filter("_keys", lambda k: k > F.col("one"))))
-                .select(F.xxhash64("one", "two").alias("key"), "_class", "root", F.lit(0).alias("band")))
+        return write_once(rows.join(stats, rows["key"] == stats["_k"]).drop("_k"), label)
+
+    columns = ["key", "_class", "root", "_n", "band"]
+    rows = open_keys(rows, "bands-1")
+    parts, crowded = [rows.filter(F.col("_n") <= crowd).select(*columns)], rows.filter(F.col("_n") > crowd)
+    once = crowded.isEmpty()  # every shared band is compared, so its first one can report a pair
+    if not once:
+        sizes = reps.select(F.col("_class").alias("_c"), "n")
+        # sizes up to the ratio apart lie in the same range or in neighbouring ones
+        own = F.floor(F.log(F.col("n")) / np.log(100 / percent) - 1e-9)
+        ranged = crowded.join(sizes, crowded["_class"] == sizes["_c"]).withColumn("_range", F.explode(F.array(own, own + 1)))
+        ranged = ranged.select(F.xxhash64("key", "_range").alias("key"), "_class", "root", "band", "_range", (F.col("_range") >= np.log(full) / np.log(100 / percent)).alias("_full"))
+        ranged = open_keys(ranged, "bands-by-size")
+        deep = F.col("_full") & (F.col("_n") > crowd)
+        parts.append(ranged.filter(~deep).select(*columns))
+        mine = ranged.filter(deep).groupBy("_class", "root", "_range").agg(F.array_sort(F.collect_set("key")).alias("_keys"))  # at most 32
+        pairs = (mine.withColumn("one", F.explode("_keys")).withColumn("two", F.explode(F.filter("_keys", lambda k: k > F.col("one"))))
+                 .select(F.xxhash64("one", "two").alias("key"), "_class", "root", F.lit(0).alias("band")))
+        parts.append(open_keys(pairs, "bands-in-pairs").select(*columns))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionAll(more)
@@ -280,7 +298,7 @@ def _links_across(cells: DataFrame, involved: DataFrame, texts: DataFrame, shing
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(confirm, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = SIMILARITY, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = SIMILARITY, crowd: int = CROWD, block: int = BLOCK, full: int = FULL) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links of
     `percent` or more, itself included) and kept (it is that document).
 
@@ -316,7 +334,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ends = likely.select(F.col("a").alias("_class")).unionAll(likely.select(F.col("b").alias("_class")))
     links = write_once(_confirmed(likely, texts_of(ends, "texts"), shingle, percent), "links")
     roots = components(links)
-    cells, once = _across(met.select("key", "_class", "band"), roots, reps, crowd, block)
+    cells, once = _across(met.select("key", "_class", "band"), roots, reps, percent, crowd, block, full)
     involved = write_once(_involved(cells, percent, once), "involved")
     if not involved.isEmpty():
         extra = write_once(_links_across(cells, involved, texts_of(involved, "texts-across"), shingle, percent, once), "links-across")

@@ -62,7 +62,7 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return repeated_strings.digest(repeated_strings.cut_repeats(docs, repeated_strings.repeated_spans(docs)))
+    return repeated_strings.cleaned(repeated_strings.cut_repeats(docs, repeated_strings.repeated_spans(docs)))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:

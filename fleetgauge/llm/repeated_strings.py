@@ -260,9 +260,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_bytes, n_removed, `removed` (maximal runs [start, stop)) and the
-    `kept` bytes. A cut may fall inside a character, so what is kept is binary. Every row of
-    `docs` is returned; a null text is empty."""
+    """Per document row: doc_id, n_bytes, n_removed, `removed` (maximal runs [start, stop)), the `kept`
+    bytes, and `text`, the kept bytes as text. A cut may fall inside a character, so what is kept is
+    binary; in `text` the parts of such a character are left out. Every row of `docs` is returned; a null
+    text is empty."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.col(text).cast("string").alias("_text"))
     mine = spans.groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     joined = rows.join(mine, rows["_id"].eqNullSafe(mine["_i"]) & (rows["_hash"] == mine["_h"]), "left").select("_id", "_text", F.array_sort("_spans").alias("_spans"))
@@ -285,10 +286,18 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text:
                 removed.append([{"start": a, "stop": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array([n - len(k) for n, k in zip(sizes, kept, strict=True)], pa.int64()),
-                pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "removed", "kept"])
+                pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "removed", "kept", "text"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,stop:long>>, kept binary")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,stop:long>>, kept binary, text string")
 
 
 def digest(cut: DataFrame) -> DataFrame:
+    """The counts of `cut_repeats` with a hash of the kept bytes."""
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def cleaned(cut: DataFrame) -> DataFrame:
+    """`digest` beside the plain result: `has_repeats` and `text`, what is left of the document."""
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"), "text")

@@ -33,6 +33,37 @@ def test_near_duplicates_in_crowded_bands(spark):
     assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute.near_duplicates(listed)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_crowded_families_of_short_texts(spark, seed):
+    """A text of seven words and 150 that add one (similarity 4/5), beside 30 that add two."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(7)]
+    texts = [base, *[base + [word()] for _ in range(150)], *[base + [word(), word()] for _ in range(30)]]
+    listed = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(listed, "doc_id long, text string"), shingle=4, crowd=32, block=16)
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute.near_duplicates(listed)
+    assert found.filter("component_id = 0").count() >= 151
+
+
+def test_crowded_families_of_long_texts(spark):
+    """Sets that fill all registers: split by the bands they share."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    listed, centre = [], [rng.choice(vocabulary) for _ in range(640)]
+    for family in range(4):
+        middle = list(centre)
+        for i in rng.sample(range(640), 45):
+            middle[i] = rng.choice(vocabulary)
+        for _ in range(6):
+            text = list(middle)
+            for i in rng.sample(range(640), 10):
+                text[i] = rng.choice(vocabulary)
+            listed.append((len(listed), " ".join(text)))
+    found = near_duplicates.near_duplicates(spark.createDataFrame(listed, "doc_id long, text string"), shingle=4, crowd=3, block=4)
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute.near_duplicates(listed)
+
+
 def test_one_of_each_group_stays(spark):
     listed = [r for r in brute.documents() if r[0] is not None]
     kept = near_duplicates.keep_one(spark.createDataFrame(listed, brute.SCHEMA), shingle=4)
@@ -122,6 +153,15 @@ def test_repeated_strings(given):
         assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_strings(listed, length), length
 
 
+def test_what_is_left_of_repeated_strings(spark):
+    same = "é" * 300
+    listed = [(1, "start " + same + " end"), (2, same + "x"), (3, "alone"), (4, None)]
+    table = spark.createDataFrame(listed, "doc_id long, text string")
+    found = {r.doc_id: r for r in repeated_strings.cleaned(repeated_strings.cut_repeats(table, repeated_strings.repeated_spans(table))).collect()}
+    assert [found[i].has_repeats for i in (1, 2, 3, 4)] == [True, True, False, False]
+    assert [found[i].text for i in (1, 2, 3, 4)] == ["start  end", "x", "alone", ""]
+
+
 def test_repeated_strings_in_crowded_buckets(spark):
     listed = brute.documents()
     table = spark.createDataFrame(listed, brute.SCHEMA)
