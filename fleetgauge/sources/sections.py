@@ -6,12 +6,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.functions.labels import any_of
 from fleetgauge.functions.times import read_instant
+from fleetgauge.operators.skew import salted_join
+from fleetgauge.session import write_once
 
 EMPTY_NOTE = "No data returned"
 META = "Note STRING, CollectedAt TIMESTAMP, SqlInstance STRING"
@@ -25,15 +27,17 @@ def read_section(spark: SparkSession, paths: str | Sequence[str], schema: str |
     name, file by file, so files may differ in columns and order. Marker rows of empty
     sections are dropped; server and collection time become the last columns.
 
-    Finding the headers costs one extra pass over the text. Where the layout of each glob is
-    known, `layouts` (glob -> column names in file order) saves it.
+    A large CSV file is read in splits like any text (`csv_records`); files whose header lacks the server
+    or the time are left out here and listed by `quarantined`. Where the layout of each glob is known,
+    `layouts` (glob -> column names in file order) reads it file by file without looking for headers.
     """
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     meta = T.StructType.fromDDL(META)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if fmt == "csv":
-        groups = ({tuple(names): [glob] for glob, names in layouts.items()} if layouts
-                  else _by_header(spark, paths))
+    if fmt == "csv" and not layouts:
+        raw = _parsed(csv_records(spark, paths), wanted, meta, options)
+    elif fmt == "csv":
+        groups = {tuple(names): [glob] for glob, names in layouts.items()}
         # exports quote by doubling, and texts hold line breaks
         options = {"escape": '"', "multiLine": True, **options}
         none = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in [*wanted, *meta]])
@@ -47,18 +51,77 @@ def read_section(spark: SparkSession, paths: str | Sequence[str], schema: str |
     return rows.select(*names, F.col("SqlInstance").alias("sql_instance"), F.col("CollectedAt").alias("collected_at"))
 
 
-def _by_header(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by header line. The driver gets what its file listing holds anyway: paths."""
-    lines = spark.read.text(list(paths))
-    named = lambda c: F.col("value").rlike(f'(^|,)\ufeff?"?{c}"?(,|\r?$)')
-    first = (lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-             .filter((F.col("at") == 0) & named("CollectedAt") & named("SqlInstance"))
-             .groupBy("path").agg(F.min("value").alias("header")))
-    out: dict[tuple[str, ...], list[str]] = {}
-    for row in first.groupBy("header").agg(F.collect_list("path").alias("paths")).toLocalIterator():
-        names = tuple(n.strip().lstrip("\ufeff").strip('"') for n in row.header.split(","))
-        out.setdefault(names, []).extend(row.paths)
-    return out
+def csv_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Records of CSV files with the header of their file: path, header, record. Texts in quotes may hold line
+    breaks, and a file may be cut into any number of splits.
+
+    A line break ends a record if an even number of quotes stands before it in the file. Quotes are counted per
+    split; their running sums, one row per split, tell whether a split begins inside a text. Only
+    records of several lines are put together by a shuffle on their own.
+    """
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), "value")
+    # lines stay in their order; numbered once, so that a task run again gives the same
+    lines = write_once(lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))), "lines")
+    here = Window.partitionBy("path", "split").orderBy("line")
+    before = F.coalesce(F.sum("quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("path", "split").agg(F.sum("quotes").alias("_q"))
+    splits = splits.select(F.col("path").alias("_p"), F.col("split").alias("_s"), (F.coalesce(F.sum("_q").over(earlier), F.lit(0)) % 2).alias("_inside"))
+    counted = lines.withColumn("_before", before).join(splits, (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s")))
+    starts = (F.col("_before") + F.col("_inside")) % 2 == 0
+    marked = write_once(counted.select("path", "split", "line", "value", starts.alias("starts"), (starts & (F.col("quotes") % 2 == 0)).alias("whole")), "marked-lines")
+    # lines of longer records: numbered by the start before them, inside the split or in an earlier one
+    parts = marked.filter("not whole")
+    own = F.last(F.when(F.col("starts"), F.col("line")), ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    last = parts.filter("starts").groupBy("path", "split").agg(F.max("line").alias("_line"))
+    ends = parts.select("path", "split").distinct().join(last, ["path", "split"], "left")
+    carried = ends.select(F.col("path").alias("_p"), F.col("split").alias("_s"), F.last("_line", ignorenulls=True).over(earlier).alias("_open"))
+    owned = parts.withColumn("_own", own).join(carried, (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s")))
+    # a record's lines are as many as its texts have line breaks
+    joined = (owned.groupBy("path", F.coalesce("_own", "_open").alias("_first")).agg(F.min(F.struct("split", "line")).alias("_at"), F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("_l"))
+              .select("path", F.col("_at.split").alias("split"), F.col("_at.line").alias("line"), F.array_join(F.col("_l.value"), "\n").alias("record")))
+    records = marked.filter("whole").select("path", "split", "line", F.col("value").alias("record")).unionByName(joined)
+    records = write_once(records.withColumn("record", F.regexp_replace("record", "^\ufeff", "")), "records")
+    heads = records.groupBy("path").agg(F.min(F.struct("split", "line", "record")).alias("_h")).select("path", "_h.split", "_h.line", F.col("_h.record").alias("header"))
+    headed = salted_join(records, heads.select("path", F.col("split").alias("_hs"), F.col("line").alias("_hl"), "header"), ["path"])
+    return headed.filter(~((F.col("split") == F.col("_hs")) & (F.col("line") == F.col("_hl"))) & (F.col("record") != "")).select("path", "header", "record")
+
+
+#: Different headers that one section's files may have.
+MOST_LAYOUTS = 1_000
+
+
+def _names(header: str) -> list[str]:
+    return [n.strip().strip('"') for n in header.split(",")]
+
+
+def _has_meta(header: Column) -> Column:
+    named = lambda c: header.rlike(f'(^|,)"?{c}"?(,|$)')
+    return named("CollectedAt") & named("SqlInstance")
+
+
+def _parsed(records: DataFrame, wanted: T.StructType, meta: T.StructType, options: Mapping[str, str]) -> DataFrame:
+    """Records as typed columns by the names in their header. Headers, not paths, come to the driver."""
+    known = {f.name: f for f in [*wanted, *meta]}
+    records = write_once(records.filter(_has_meta(F.col("header"))), "section")
+    headers = sorted(r.header for r in records.select("header").distinct().limit(MOST_LAYOUTS + 1).collect())
+    if len(headers) > MOST_LAYOUTS:
+        raise ValueError(f"more than {MOST_LAYOUTS} layouts in one section")
+    typed = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", **{k: str(v) for k, v in options.items()}}
+    row = F.lit(None).cast(T.StructType(list(known.values())))
+    for header in headers:
+        names = _names(header)
+        shape = ", ".join(f"`{n}` {known[n].dataType.simpleString() if n in known else 'string'}" for n in names)
+        got = F.from_csv("record", shape, typed)
+        fields = [got.getField(n).alias(n) if n in names else F.lit(None).cast(f.dataType).alias(n) for n, f in known.items()]
+        row = F.when(F.col("header") == header, F.struct(*fields)).otherwise(row)
+    return records.select(row.alias("_r")).select("_r.*")
+
+
+def quarantined(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Files without the server or the time of collection in their header: path, header and number of records."""
+    records = csv_records(spark, [paths] if isinstance(paths, str) else list(paths))
+    return records.filter(~_has_meta(F.col("header"))).groupBy("path", "header").agg(F.count(F.lit(1)).alias("records"))
 
 
 def _csv(spark, files, header, wanted, meta, options) -> DataFrame:

@@ -56,6 +56,26 @@ def test_scratch_lies_below_the_named_folder(spark):
     assert rows(write_once(spark.range(3).toDF("n"), "t")) == [(0,), (1,), (2,)]
 
 
+@pytest.mark.parametrize("split", [16, 50, 333, 1 << 20])
+def test_one_file_in_several_splits(spark, tmp_path, split):
+    """Records with line breaks, doubled quotes and commas, longer than a split or not."""
+    texts = ["plain", "two\nlines", 'a "quoted" word', "many\n\n\nbreaks, and commas,\n" + "long " * 30 + "\nend", '"', "", "x\n"] * 4
+    (tmp_path / "a.csv").write_text("\ufeffName,Text,CollectedAt,SqlInstance\n" + "".join('n%d,"%s",2024-01-01 00:00:00,s1\n' % (i, t.replace('"', '""')) for i, t in enumerate(texts)))
+    (tmp_path / "b.csv").write_text('"SqlInstance","CollectedAt","Size","Name"\ns2,2024-01-01 00:00:00,5,"m"\n')
+    (tmp_path / "c.csv").write_text("Name,Size\nq,1\nr,2\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, str(split if "max" in k else 1))
+        got = sections.read_section(spark, f"{tmp_path}/*.csv", "Name STRING, Text STRING, Size INT")
+        want = [(f"n{i}", t or None, None, "s1") for i, t in enumerate(texts)] + [("m", None, 5, "s2")]
+        assert rows(got, "Name", "Text", "Size", "sql_instance") == sorted(want, key=repr)
+        assert [(r.header, r.records) for r in sections.quarantined(spark, f"{tmp_path}/*.csv").collect()] == [("Name,Size", 2)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.fixture
 def shuffles(spark):
     """The setting, put back whatever the test does."""
