@@ -60,6 +60,19 @@ def agg6(t):
     return agg.category_impact(t.lineitem, "l_returnflag", _cents("l_extendedprice") - 5000000, "l_suppkey", "l_partkey")
 
 
+@bind("agg6_merged_distinct", """
+SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1, 2""")
+def agg6_merged(t):
+    """Sets of two halves of the year, merged: as much as of the whole."""
+    by = ["l_returnflag", "l_linestatus"]
+    halves = [t.lineitem.filter(F.month("l_shipdate") <= 6), t.lineitem.filter(F.month("l_shipdate") > 6)]
+    counts = []
+    for column, out in (("l_partkey", "parts"), ("l_orderkey", "orders")):
+        sets = agg.number_sets(halves[0], by, column).unionByName(agg.number_sets(halves[1], by, column))
+        counts.append(agg.count_numbers(agg.merge_number_sets(sets, by), by, out))
+    return counts[0].join(counts[1], by)
+
+
 @bind("agg7_weighted_stats", f"""
 SELECT l_partkey, CAST(sum(n) AS BIGINT) AS runs, {half_up('sum(c * n)', '100 * sum(n)')} AS weighted_mean, CAST(sum(c * n) AS DOUBLE) / 100 AS estimated_total, max(n) AS largest,
   CASE WHEN max(n) >= 50 THEN 1 ELSE 0 END AS flag_large FROM (SELECT l_partkey, {cents('l_extendedprice')} AS c, CAST(l_quantity AS BIGINT) AS n FROM lineitem) WHERE c > 0 GROUP BY 1""")

@@ -41,3 +41,37 @@ def like_any(text: Column, patterns: Iterable[str], ignore_case: bool = False) -
 
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def keyword_pattern(words: Sequence[str]) -> str:
+    """One pattern for all words: a tree of their letters, so that a place in a text is left at the first letter
+    no word goes on with. At each place it matches the longest word."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spell(node: dict) -> str:
+        branches = [("" if c.isalnum() else "\\") + c + spell(child) for c, child in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        joined = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return joined + ("?" if "" in node else "")
+
+    return spell(tree)
+
+
+def keyword_rank(text: Column, ranks: Mapping[str, int]) -> Column:
+    """The smallest rank of any of the words in the text, NULL if none is there; one pass whatever their number.
+
+    At each place the longest word is found; words inside it are known beforehand.
+    """
+    words = [w for w in ranks if w]
+    best = {w: min(ranks[v] for v in words if v in w) for w in words}
+    if not words:
+        return F.lit(None).cast("int")
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({keyword_pattern(words)}))"), 1))
+    table = F.create_map(*[F.lit(x) for pair in best.items() for x in pair])
+    return F.array_min(F.transform(hits, lambda w: F.element_at(table, w)))

@@ -82,6 +82,27 @@ def category_impact(df: DataFrame, category: str, total: Column, plan: str, quer
         F.countDistinct(plan).alias("plans"), F.countDistinct(query).alias("queries"))
 
 
+def number_sets(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """The different numbers of a whole-number column per group, as bitmaps of 32,768 numbers: `part` (of the number
+    range) and `bits`. Meant for dense numbers: a part takes 4 KB however few of its numbers occur.
+
+    A large group is spread over its parts, and a part is filled where its rows are read.
+    """
+    n = F.col(column).cast("bigint")
+    rows = df.filter(n.isNotNull()).select(*by, F.bitmap_bucket_number(n).alias("part"), F.bitmap_bit_position(n).alias("_bit"))
+    return rows.groupBy(*by, "part").agg(F.bitmap_construct_agg("_bit").alias("bits"))
+
+
+def merge_number_sets(sets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Several tables of `number_sets` (of days, of servers) as one."""
+    return sets.groupBy(*by, "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def count_numbers(sets: DataFrame, by: Sequence[str], out: str = "different") -> DataFrame:
+    """Exact number of different numbers per group."""
+    return sets.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias(out))
+
+
 def weighted_stats(df: DataFrame, keys: Sequence[str], mean: Column, runs: Column, largest: Column,
                    limit: int = 131_072) -> DataFrame:
     """Run-weighted mean, estimated total and maximum."""

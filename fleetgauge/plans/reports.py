@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.labels import any_of, band, flag, label_of, like_any
+from fleetgauge.functions.labels import any_of, band, flag, keyword_pattern, keyword_rank, label_of, like_any
 from fleetgauge.functions.numbers import percent, row_count, whole_ratio
 from fleetgauge.functions.times import before, boundary_diff, instant
 from fleetgauge.operators import aggregates, rules, windows
@@ -184,16 +184,22 @@ SEVERITIES = ["CRITICAL", "WARNING", "INVESTIGATE"]
 def log_errors(lines: DataFrame, ts: str, text: str, as_of, keep: Sequence[str] = (), rule_list=None,
                search: Sequence[str] | None = None) -> DataFrame:
     """Distinct log lines that hold any searched keyword, with class (first match wins),
-    severity (the worst of any matching keyword) and age in days. One pass for all keywords."""
+    severity (the worst of any matching keyword) and age in days.
+
+    All words are one pattern, so a line is searched once for the filter, and a line that is kept once for
+    the class and once for the severity, whatever the number of words.
+    """
     table = rule_list or LOG_RULES
-    lowered = F.lower(F.col(text))
-    has = lambda word: lowered.contains(word.lower())
     words = search or (LOG_SEARCH if rule_list is None else [w for w, _, _ in table])
-    severity = [(any_of([has(w) for w, _, s in table if s == level]), level)
-                for level in SEVERITIES if any(s == level for _, _, s in table)]
-    return (lines.filter(any_of([has(w) for w in words])).select(*keep, ts, text).distinct()
-            .withColumns({"error_class": band([(has(w), label) for w, label, _ in table], "Other"),
-                          "severity": band(severity, "INVESTIGATE"),
+    first, worst = {}, {}
+    for i, (word, _, severity) in enumerate(table):
+        first.setdefault(word.lower(), i)
+        worst[word.lower()] = min(worst.get(word.lower(), len(SEVERITIES)), SEVERITIES.index(severity))
+    lowered = F.lower(F.col(text))
+    named = lambda labels, rank, default: F.coalesce(F.get(F.array(*[F.lit(x) for x in labels]), rank), F.lit(default))
+    return (lines.filter(lowered.rlike(keyword_pattern([w.lower() for w in words]))).select(*keep, ts, text).distinct()
+            .withColumns({"error_class": named([label for _, label, _ in table], keyword_rank(lowered, first), "Other"),
+                          "severity": named(SEVERITIES, keyword_rank(lowered, worst), "INVESTIGATE"),
                           "days_ago": boundary_diff("day", F.col(ts), instant(as_of))}))
 
 

@@ -1,6 +1,7 @@
 """Hand-written rows at the edges of each rule."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -264,3 +265,27 @@ def test_deadlock_reports_below_their_event(spark):
     docs = spark.createDataFrame([(1, report), (2, f"<r>{report}{report}</r>"), (3, f'<?xml version="1.0"?>{report}'), (4, "<event"), (5, None)], "k int, x string")
     got = rows(reporting.xml_events(docs, "x", ["k"]), "k", "victim", "first_object", "processes")
     assert got == [(k, "p1", "a.b.c", 2) for k in (1, 2, 2, 3)]
+
+
+def test_two_hundred_keywords_in_one_pass(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc /(.") for _ in range(rng.randint(1, 6))).strip() or "x"
+    table = [(w, f"class {i % 17}", reports.SEVERITIES[i % 3]) for i, w in enumerate(dict.fromkeys(word() for _ in range(260)))][:200]
+    listed = [(i, "".join(rng.choice("ABCabc /(.zz") for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    lines = spark.createDataFrame(listed, "n int, text string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    found = rows(reports.log_errors(lines, "ts", "text", "2024-01-05 00:00:00", ["n"], table), "n", "error_class", "severity", "days_ago")
+    want = []
+    for n, text in listed:
+        hits = [(w, c, s) for w, c, s in table if w in text.lower()]
+        if hits:
+            want.append((n, hits[0][1], min((s for _, _, s in hits), key=reports.SEVERITIES.index), 4))
+    assert found == sorted(want, key=repr) and len(want) > 50
+
+
+def test_distinct_numbers_merge(spark):
+    table = spark.range(200_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, (F.col("id") * 31) % 100_003 - 500).alias("n"))
+    whole = aggregates.number_sets(table, ["k"], "n")
+    halves = aggregates.number_sets(table.filter("n < 40000"), ["k"], "n").union(aggregates.number_sets(table.filter("n > 30000"), ["k"], "n"))
+    exact = rows(table.groupBy("k").agg(F.countDistinct("n").alias("d")))
+    assert rows(aggregates.count_numbers(whole, ["k"])) == rows(aggregates.count_numbers(aggregates.merge_number_sets(halves, ["k"]), ["k"])) == exact
+    assert "Expand" not in whole._jdf.queryExecution().executedPlan().toString()
