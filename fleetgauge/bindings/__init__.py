@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ["sources_sets", "rule_queries", "join_queries", "aggregate_queries", "history_queries", "overlap_queries",
-           "reporting_queries", "report_queries", "stream_queries"]
+           "reporting_queries", "report_queries", "stream_queries", "check_queries"]
 
 
 def _load():
