@@ -2,8 +2,8 @@
 
 All measures are whole numbers. Each is counted into a log-linear histogram (sixteen buckets per
 doubling), a quantile sketch that merges by adding counts and does not depend on order: one per
-language and source, merged into one per language and one over all for groups too small to
-speak for themselves. A document fails where a measure lies far outside what its group shows.
+language and source, merged into one per language and one over all, which have their say the more the
+smaller a group is. A document fails where a measure lies far outside what its group shows.
 DataFrame functions only.
 """
 
@@ -18,12 +18,13 @@ from fleetgauge.session import write_once
 
 #: Shortest text, and the share of repeated words, of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Groups below this size use the sketch of their language, then the one over all documents.
-MIN_GROUP = 200
-#: A threshold lies this many times the range of quartiles above the third, but not below the
-#: measure's own least threshold: what is normal is not rejected because a group is uniform.
+#: A group of this many documents speaks half for itself and half like its language, a language half like all
+#: documents; the share grows with the group, without a step.
+HALF_GROUP = 200
+#: A threshold lies this many times the range of quartiles above the third. The range counts as at least so
+#: much: what is normal is not rejected because a group is uniform.
 SPREAD = 6
-LEAST = {"symbols": 100, "dup_lines": 400, "repeats": 300, "word_chars": 150}
+LEAST_RANGE = {"symbols": 8, "dup_lines": 60, "repeats": 45, "word_chars": 10}
 #: Above this many rows the table of thresholds is not broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -109,9 +110,10 @@ def sketches(docs: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     return rows.groupBy("lang", "source", "measure", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """Largest accepted value of each measure, as one map `_most` per language and source."""
-    least = F.create_map(*[F.lit(x) for pair in LEAST.items() for x in pair])
+def thresholds(sketch: DataFrame, half_group: int = HALF_GROUP, spread: int = SPREAD) -> DataFrame:
+    """Largest accepted value of each measure, as one map `_most` per language and source: of the group itself,
+    its language and all documents, weighted by size."""
+    least = F.create_map(*[F.lit(x) for pair in LEAST_RANGE.items() for x in pair])
     levels = []
     for keys in (["lang", "source"], ["lang"], []):
         merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
@@ -120,7 +122,7 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPRE
         placed = merged.select(*keys, "measure", bucket_top(F.col("bucket")).alias("top"), F.sum("n").over(order).alias("upto"), F.sum("n").over(total).alias("of"))
         quartile = [F.min(F.when(4 * F.col("upto") >= q * F.col("of"), F.col("top"))).alias(f"q{q}") for q in (1, 3)]
         found = placed.groupBy(*keys, "measure").agg(*quartile, F.max("of").alias("of"))
-        most = F.greatest(F.col("q3") + spread * (F.col("q3") - F.col("q1")), least[F.col("measure")].cast("long"))
+        most = F.col("q3") + spread * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")].cast("long"))
         levels.append(found.groupBy(*keys).agg(F.max("of").alias("_docs"), F.map_from_entries(F.collect_list(F.struct("measure", most.alias("most")))).alias("_most")))
     own, by_lang, overall = levels
     by_lang = by_lang.select(F.col("lang").alias("_l"), F.col("_docs").alias("_ld"), F.col("_most").alias("_lm"))
@@ -128,8 +130,12 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPRE
     joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_l"]), "left")
     # the sketch over all documents is one row
     joined = joined.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_1", F.lit(1))), F.col("_one") == F.col("_1"), "left")
-    chosen = F.when(F.col("_docs") >= min_group, F.col("_most")).when(F.col("_ld") >= min_group, F.col("_lm")).otherwise(F.col("_all"))
-    return joined.select("lang", "source", chosen.alias("_most"))
+
+    def blend(near: Column, far: Column, size: Column) -> Column:
+        return F.floor((near * size + far * half_group) / (size + half_group)).cast("long")
+
+    mixed = F.transform_values("_most", lambda k, v: blend(v, blend(F.col("_lm")[k], F.col("_all")[k], F.col("_ld")), F.col("_docs")))
+    return joined.select("lang", "source", mixed.alias("_most"))
 
 
 def judged(docs: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -161,5 +167,6 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that `quality` keeps, with all their columns."""
     packed = docs.select(F.struct("*").alias("_row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    counts = measured(packed)
+    # measured once, beside the rows: two passes read it
+    counts = write_once(measured(packed).drop("text"), "measured")
     return judged(counts, write_once(thresholds(sketches(counts)), "thresholds")).filter("kept").select("_row.*")

@@ -137,6 +137,55 @@ def test_quality_thresholds_follow_the_group(spark):
     assert [r.doc_id for r in kept if not r.kept] == [900]
 
 
+def test_a_uniform_group_rejects_what_is_far_from_it(spark):
+    """401 documents with 0 to 3 symbols per mille, and one with 64."""
+    text = " ".join(f"word{i:04d}" for i in range(125))  # 1000 characters of words
+    listed = [(i, text + " #" * (i % 4), "en", "web") for i in range(401)] + [(900, text + " #" * 68, "en", "web")]
+    kept = quality.quality(spark.createDataFrame(listed, "doc_id long, text string, lang string, source string")).collect()
+    assert [r.doc_id for r in kept if not r.kept] == [900]
+
+
+def quality_thresholds(rows_):
+    """The thresholds of each group, plainly: {(lang, source): {measure: most}}."""
+    def top(bucket):
+        shift = max(bucket // 16 - 1, 0)
+        return ((bucket - 16 * shift + 1) << shift) - 1
+
+    def of(value):
+        shift = max(value.bit_length() - 5, 0)
+        return 16 * shift + (value >> shift)
+
+    groups = {}
+    for _, text, lang, source, *_ in rows_:
+        n, chars, symbols, dup, repeat, _failed = brute.quality(text)
+        if n:
+            lines = len([x for x in (text or "").split("\n") if brute.words(x)])
+            values = {"symbols": 1000 * symbols // chars, "dup_lines": 1000 * dup // lines, "repeats": 1000 * repeat // n, "word_chars": 10 * chars // n}
+            for key in ((lang, source), (lang,), ()):
+                for m, v in values.items():
+                    groups.setdefault(key, {}).setdefault(m, []).append(of(v))
+    limits = {}
+    for key, measures in groups.items():
+        for m, buckets in measures.items():
+            buckets.sort()
+            q1, q3 = (top(buckets[-(-q * len(buckets) // 4) - 1]) for q in (1, 3))
+            limits.setdefault(key, {})[m] = (q3 + 6 * max(q3 - q1, quality.LEAST_RANGE[m]), len(buckets))
+    out = {}
+    for key in limits:
+        if len(key) == 2:
+            for m, (own, n) in limits[key].items():
+                (lang, ln), (every, _) = limits[key[:1]][m], limits[()][m]
+                far = (lang * ln + every * 200) // (ln + 200)
+                out.setdefault(key, {})[m] = (own * n + far * 200) // (n + 200)
+    return out
+
+
+def test_quality_thresholds(given):
+    table, listed = given
+    found = {(r.lang, r.source): r["_most"] for r in quality.thresholds(quality.sketches(quality.measured(table))).collect()}
+    assert found == quality_thresholds(listed)
+
+
 def test_sketches_merge(spark):
     listed = [r for r in brute.documents() if r[1]]
     whole, one, two = (quality.sketches(quality.measured(spark.createDataFrame(x, brute.SCHEMA))) for x in (listed, listed[::2], listed[1::2]))
