@@ -34,10 +34,17 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its number of copies (0 to 2) in a mix of the target weights."""
+    """Every document with its number of copies (0 to 2) in a mix of the target weights: size, source_size,
+    target, copies, taken. A column of the documents that has one of these names is kept with `_in` behind it."""
     mixed = mixing.mixed(docs, carry=True)
     added = ["size", "source_size", "target", "copies", "taken"]
-    return mixed.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
+    kept = []
+    for c in docs.columns:
+        name = c
+        while name in added or name != c and name in docs.columns:
+            name += "_in"
+        kept.append(F.col("_row").getField(c).alias(name))
+    return mixed.select(*kept, *added)
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_dedup), ("benchmark decontamination", drop_contaminated), ("personal data", redact), ("source mix", mix)]
