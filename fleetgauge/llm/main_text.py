@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
-A forgiving reader turns a page into a tree without what is never article (menus, headers,
-footers, asides, forms, scripts, adverts, notices, comments, hidden parts). Every node gets its
-composite density: characters per tag, lowered by the share of characters and tags in links
+A forgiving reader turns a page into a tree. What is never article by its element or role (menus, headers,
+footers, asides, scripts, hidden parts) is taken out; what a word of its class or id calls an advert, notice,
+comment and the like, and a form, is taken out too, unless it holds most of the page's text and little stands
+outside: then it is a wrapper. Every other node gets its composite density: characters per tag, lowered by the share of characters and tags in links
 (Sun, Song and Liao's measure). The node whose children's densities have the largest sum is the
 core of the article. The smallest density on the way from there to the body is the threshold:
 the core grows to each ancestor that has another child of text at or above it. A paragraph grows to
@@ -29,64 +30,72 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("article main section div td body html".split())
-STOPS = frozenset("ul ol dl table article section div body td th main blockquote".split())
+STOPS = frozenset("ul ol dl table article section div body td th main blockquote nav header footer aside form".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("title meta link script style base noscript template".split())
 #: Elements, words of class or id, and roles that are not part of an article.
-NEVER = frozenset("head script style noscript template iframe nav header footer aside form button select textarea input menu svg canvas object audio video dialog title".split())
+NEVER = frozenset("head script style noscript template iframe nav header footer aside button select textarea input menu svg canvas object audio video dialog title".split())
 BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice popup modal overlay comment comments disqus replies "
     "share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
+#: Of these words, those of reader comments, which can be longer than the article.
+REPLIES = frozenset("comment comments disqus replies".split())
+#: A part called beside by a word is a wrapper if it has more than half of the text and this many times the
+#: text outside such parts; one that is called comments needs more.
+WRAPS, WRAPS_REPLIES = 4, 20
+NO, NEVER_ARTICLE, BY_WORD, BY_REPLY_WORD = range(4)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
+#: A tag that ends itself; a slash at the end of an unquoted value is part of the value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 
 
 class Node:
-    __slots__ = ("children", "density", "link_chars", "link_tags", "parent", "tag", "tags", "chars")
+    __slots__ = ("beside", "children", "density", "link_chars", "link_tags", "parent", "tag", "tags", "chars")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, beside: int = NO):
+        self.tag, self.parent, self.beside = tag, parent, beside
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _beside(tag: str, raw: str) -> bool:
-    """Whether an element is never part of an article."""
+def _beside(tag: str, raw: str) -> int:
+    """Whether an element is never part of an article, or only by a word of its class or id."""
     if tag in NEVER:
-        return True
+        return NEVER_ARTICLE
+    found = BY_WORD if tag == "form" else NO
     if not raw or raw.isspace():
-        return False
+        return found
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and tag not in ("html", "body") and not BESIDE.isdisjoint(_WORD.findall(value)):
-            return True
         if name == "hidden" or (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return NEVER_ARTICLE
+        if name in ("class", "id") and tag not in ("html", "body"):
+            words = set(_WORD.findall(value))
+            if not BESIDE.isdisjoint(words):
+                found = max(found, BY_WORD if REPLIES.isdisjoint(words) else BY_REPLY_WORD)
+    return found
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without what is beside the article; every page gives a tree."""
+    """The tree of a page, what is beside the article marked as such; every page gives a tree."""
     root = Node("html", None)
-    here, skipped, depth, at = root, "", 0, 0  # inside a skipped element: its tag and how deep
+    here, at = root, 0
     scan = _TOKEN.scanner(page)
     while match := scan.search():
-        if match.start() > at and not skipped:
+        if match.start() > at:
             here.children.append(page[at:match.start()])
         at = match.end()
         end, tag, raw = match.group(1), match.group(2), match.group(3)
         if tag is None:
             continue
         tag = tag.lower()
-        if skipped:
-            if tag == skipped:
-                depth += -1 if end else (0 if raw.endswith("/") else 1)
-                if not depth:
-                    skipped = ""
-            continue
         if end:
             node = here
             while node is not root and node.tag != tag:
@@ -97,9 +106,11 @@ def parse(page: str) -> Node:
             if node is not root:
                 here = node.parent
             continue
+        if here.tag == "head" and tag not in HEAD:  # its end tag may be left out
+            here = here.parent
         if tag in ("html", "body"):
             continue
-        if tag in BLOCK and tag not in ("html", "body"):  # a block ends an open paragraph
+        if tag in BLOCK:  # a block ends an open paragraph
             node = here
             while node is not root and node.tag != "p" and node.tag not in STOPS:
                 node = node.parent
@@ -111,21 +122,60 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not root and node.tag in CLOSES[tag]:
                 here = node.parent
-        if tag in RAW and not raw.endswith("/"):
+        closed = tag in VOID or bool(_CLOSED.search(raw))
+        if tag in RAW and not closed:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = close.end() if close else len(page)
             scan = _TOKEN.scanner(page, at)
             continue
-        if _beside(tag, raw):
-            if tag not in VOID and not raw.endswith("/"):
-                skipped, depth = tag, 1
-            continue
-        node = Node(tag, here)
+        node = Node(tag, here, _beside(tag, raw))
         here.children.append(node)
-        if tag not in VOID and not raw.endswith("/"):
+        if not closed:
             here = node
-    if at < len(page) and not skipped:
+    if at < len(page):
         here.children.append(page[at:])
+    return article_only(root)
+
+
+def article_only(root: Node) -> Node:
+    """The tree without the parts beside the article.
+
+    Parts that a word calls so are looked at from the outside in. One stays if it has more than half of the
+    text outside links and at least `WRAPS` times as much as stands outside all such parts.
+    """
+    order, stack = [], [(root, False)]
+    named = False
+    while stack:
+        node, linked = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c.beside != NEVER_ARTICLE]
+        linked = linked or node.tag == "a"
+        named = named or node.beside != NO
+        order.append((node, linked))
+        stack.extend((c, linked) for c in node.children if isinstance(c, Node))
+    if not named:
+        return root
+    # text outside links of each part, and of it what no word inside calls beside
+    whole: dict[int, int] = {}
+    plain: dict[int, int] = {}
+    for node, linked in reversed(order):
+        own = 0 if linked else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        inner = [c for c in node.children if isinstance(c, Node)]
+        whole[id(node)] = own + sum(whole[id(c)] for c in inner)
+        plain[id(node)] = own + sum(plain[id(c)] for c in inner if c.beside == NO)
+    outside = plain[id(root)]  # grows by the plain text of each wrapper that stays
+    parts = [root]
+    while parts:
+        node, kept = parts.pop(), []
+        for c in node.children:
+            if isinstance(c, Node):
+                if c.beside != NO:
+                    times = WRAPS_REPLIES if c.beside == BY_REPLY_WORD else WRAPS
+                    if not (2 * whole[id(c)] > whole[id(root)] and whole[id(c)] >= times * outside):
+                        continue
+                    outside += plain[id(c)]
+                parts.append(c)
+            kept.append(c)
+        node.children = kept
     return root
 
 
