@@ -50,6 +50,8 @@ NOT_CONTEXT = r"(?i)(?:version|section|isbn|issn|page|vol|no|nr|id|token)[^\p{L}
 #: Characters before a span that the context labeler sees.
 CONTEXT_CHARS = 24
 ROUNDS = 8
+#: A long text is cut in pieces of this many code points before spans are replaced, so that it is walked once.
+CHUNK = 4096
 #: Probability from which a candidate that is no base span is added.
 SURE = 0.9
 
@@ -58,24 +60,29 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _running(values: Column, join, neutral: int) -> Column:
+    """Running sums, maxima or minima of an array of whole numbers, by steps of doubling reach: n log n."""
+
+    def step(a: Column, j: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(neutral).cast("bigint"), F.call_function("shiftleft", F.lit(1), j)), a)
+        return F.zip_with(a, F.slice(before, F.lit(1), F.size(a)), join)
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(values))) - 1), values, step)
+
+
 def _found(text: Column, kind: str, pattern: str, base: bool) -> Column:
-    """Matches as structs (start, kind number, stop, kind, hit, base, lead): lengths of the parts
-    between the matches and of the matches add up to the positions, in code points."""
+    """Matches as structs (start, kind number, stop, kind, hit, base, lead): running sums of the lengths
+    of the parts between the matches and of the matches are the positions, in code points."""
     first = KINDS.index(kind)
     empty = F.expr("cast(array() as array<struct<start:bigint,k:int,stop:bigint,kind:string,hit:string,base:boolean,lead:string>>)")
 
     def placed(hits: Column) -> Column:
         def walk(parts: Column) -> Column:
-            start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-
-            def step(a: Column, i: Column) -> Column:
-                part, hit = F.get(parts, i), F.get(hits, i)
-                begin = a["at"] + F.length(part)
-                end = (begin + F.length(hit)).cast("bigint")
-                one = F.struct(begin.cast("bigint").alias("start"), F.lit(first).alias("k"), end.alias("stop"), F.lit(kind).alias("kind"), hit.alias("hit"), F.lit(base).alias("base"), F.right(part, F.lit(CONTEXT_CHARS)).alias("lead"))
-                return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda a: a["out"])
+            lengths = F.zip_with(parts, hits, lambda p, h: (F.length(p) + F.coalesce(F.length(h), F.lit(0))).cast("bigint"))
+            one = lambda ends: lambda hit, i: F.struct(
+                (F.get(ends, i) - F.length(hit)).cast("bigint").alias("start"), F.lit(first).alias("k"), F.get(ends, i).alias("stop"), F.lit(kind).alias("kind"),
+                hit.alias("hit"), F.lit(base).alias("base"), F.right(F.get(parts, i), F.lit(CONTEXT_CHARS)).alias("lead"))
+            return _let(_running(lengths, lambda x, y: x + y, 0), lambda ends: F.transform(hits, one(ends)))
 
         return F.when(F.size(hits) > 0, _let(F.split(text, pattern, -1), walk)).otherwise(empty)
 
@@ -204,8 +211,14 @@ def split_spans(rows: DataFrame, weights: dict[str, float], sure: float = SURE)
         return odds >= F.log(F.lit(sure / (1 - sure)))
 
     rows = rows.withColumn("_base", short(F.filter("_spans", lambda x: x["ok"])))
-    free = F.filter("_spans", lambda x: ~x["ok"] & accepted(x) & ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return rows.withColumn("_added", F.array_distinct(short(free)))
+    # in order of starts, a span meets a base span before it that ends later than it starts, or one behind it that
+    # starts before it ends
+    far = 1 << 62
+    ends = _running(F.transform("_spans", lambda x: F.when(x["ok"], x["stop"]).otherwise(F.lit(0).cast("bigint"))), lambda x, y: F.greatest(x, y), 0)
+    starts = F.reverse(_running(F.reverse(F.transform("_spans", lambda x: F.when(x["ok"], x["start"]).otherwise(F.lit(far).cast("bigint")))), lambda x, y: F.least(x, y), far))
+    free = _let(F.struct(ends.alias("ends"), starts.alias("starts")), lambda met: F.filter(
+        "_spans", lambda x, i: ~x["ok"] & (F.get(met["ends"], i) <= x["start"]) & (F.get(met["starts"], i) >= x["stop"]) & accepted(x)))
+    return rows.withColumn("_added", F.when(F.size("_spans") > F.size("_base"), F.array_distinct(short(free))).otherwise(F.slice("_base", 1, 0)))
 
 
 def _joined(spans: Column) -> Column:
@@ -230,19 +243,35 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
                        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.sort_array(F.concat("_base", "_added"))).alias("spans"), F.size("_added").cast("long").alias("n_added"))
 
 
+def _cut(text: Column, spans: Column) -> Column:
+    """The text with its spans, in order of starts, replaced by their kinds; those that overlap become one."""
+    ends = _running(F.transform(spans, lambda x: x["stop"]), lambda x, y: F.greatest(x, y), 0)
+
+    def body(v: Column) -> Column:
+        chunks, ends = v["chunks"], v["ends"]
+        get = lambda i: F.coalesce(F.get(chunks, i.cast("int")), F.lit(""))
+
+        def part(lo: Column, hi: Column) -> Column:
+            a, b = F.floor(lo / CHUNK), F.floor(hi / CHUNK)
+            at, to = (lo % CHUNK + 1).cast("int"), (hi % CHUNK).cast("int")
+            apart = F.concat(F.substring(get(a), at, F.lit(CHUNK)), F.array_join(F.slice(chunks, (a + 2).cast("int"), (b - a - 1).cast("int")), ""), F.substring(get(b), F.lit(1), to))
+            return F.when(hi <= lo, "").when(a == b, F.substring(get(a), at, (hi - lo).cast("int"))).otherwise(apart)
+
+        def one(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(ends, i - 1))
+            return F.when(x["start"] >= before, F.concat(part(before, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spans, one), ""), part(F.element_at(ends, -1), F.length(text).cast("bigint")))
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"), ends.alias("ends")), body)
+
+
 def redacted(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """`docs` with every span replaced by its kind in angle brackets, and `n_chars` brought up to
     date if there is one. Spans that overlap become one. Null texts stay null."""
     packed = candidates(docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text")), "_text")
     done = split_spans(packed, train(packed.select(F.explode("_spans").alias("x")), rounds), sure)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        mark = F.when(x["start"] >= a["at"], F.concat(F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(a["at"], x["stop"]).alias("at"), F.concat(a["out"], mark).alias("out"))
-
-    spans = F.sort_array(F.concat("_base", "_added"))
-    clean = F.when(F.size(spans) == 0, F.col("_text")).otherwise(
-        F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.length("_text")))))
+    done = done.withColumn("_cuts", F.sort_array(F.concat("_base", "_added")))
+    clean = F.when(F.size("_cuts") == 0, F.col("_text")).otherwise(_cut(F.col("_text"), F.col("_cuts")))
     done = done.select("_row", clean.alias("_clean"))
     return done.select(*[F.col("_clean").alias(c) if c == text else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col("_row").getField(c).alias(c) for c in docs.columns])
