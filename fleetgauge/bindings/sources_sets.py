@@ -75,15 +75,25 @@ def _log_lines(t):
 _LOG_CASE = "CASE event_type WHEN 'view' THEN 'SKIP' WHEN 'click' THEN 'WARN' WHEN 'error' THEN 'ERROR' ELSE 'OK' END"
 
 
-@bind("src6_parse_run_log", f"""
+_LOG_ROWS = f"""
 SELECT date_trunc('second', ts) AS logged_at, {_LOG_CASE} AS status, 'ch_' || user_id AS chapter, 's_' || event_type AS section,
        CASE {_LOG_CASE} WHEN 'OK' THEN 'Exported ' || event_id || ' rows to file.csv' WHEN 'ERROR' THEN 'Login failed [code 1]' ELSE 'not enabled' END AS message,
        CASE WHEN {_LOG_CASE} = 'OK' THEN event_id END AS rows_exported
-FROM events""")
+FROM events"""
+
+
+@bind("src6_parse_run_log", _LOG_ROWS)
 def src6(t):
     return sections.parse_run_log(_log_lines(t))
 
 
+@bind("src6_encoded_run_log", _LOG_ROWS)
+def src6_encoded(t):
+    """The same log written and read in its two-byte encoding."""
+    path = sections.write_run_log(_log_lines(t), scratch_dir(t.spark, "src6"))
+    return sections.parse_run_log(sections.read_run_log(t.spark, path))
+
+
 @bind("fnd3_run_summary", f"""
 SELECT 'ch_' || user_id AS chapter, count(*) FILTER (WHERE s IN ('OK','WARN','ERROR')) AS sections_run,
        count(*) FILTER (WHERE s IN ('OK','WARN')) AS sections_ok, count(*) FILTER (WHERE s = 'ERROR') AS sections_failed,

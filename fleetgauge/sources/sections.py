@@ -164,6 +164,36 @@ def write_section(df: DataFrame, root: str, section: str, mode: str = "overwrite
 LOG_LINE = r"^\[([^\]]*)\]\s+\[([^\]]*)\]\s+\[([^\]]*)\]\s+\[([^\]]*)\]\s?(.*)$"
 
 
+#: Bytes of the log's line end in its encoding, as the text source compares them.
+LOG_ENCODING, LOG_NEWLINE = "UTF-16LE", "\r\n"
+
+
+def read_run_log(spark: SparkSession, path: str, encoding: str = LOG_ENCODING, newline: str = LOG_NEWLINE, stream: bool = False) -> DataFrame:
+    """Lines of run logs in a two-byte (or any other) encoding: `value`, for `parse_run_log`.
+
+    The text source cuts files at the bytes of `newline` in that encoding, so one large log is read by
+    several tasks and a stream keeps which files it has read; the lines are decoded as columns. A byte
+    order mark, and a carriage return left by `newline="\\n"`, are taken off. In UTF-16 the default's four
+    bytes can stand nowhere but at a line end (a shifted match would need U+0A00, which is no character).
+    As a stream, a file is read once, when it appears: move logs in when they are finished. Bytes that are
+    no text in the encoding become the replacement character; the line stays.
+    """
+    reader = (spark.readStream if stream else spark.read).option("lineSep", newline.encode(encoding).decode("latin-1"))
+    raw = F.col("value").cast("binary")
+    size = len("x".encode(encoding))
+    # decode() ends the job on half a character; a line cut short, as of a log still written, loses it
+    whole = F.substring(raw, F.lit(1), F.length(raw) - F.length(raw) % size) if size > 1 else raw
+    text = F.regexp_replace(F.decode(whole, encoding), "^\ufeff|\r$", "")
+    return reader.text(path).select(text.alias("value")).filter("value <> ''")
+
+
+def write_run_log(lines: DataFrame, path: str, column: str = "value", encoding: str = LOG_ENCODING, newline: str = LOG_NEWLINE) -> str:
+    """Lines as log files in the encoding, without a mark; one file per partition."""
+    coded = F.encode(F.col(column), encoding).cast("string")
+    lines.select(coded.alias("value")).write.mode("overwrite").option("lineSep", newline.encode(encoding).decode("latin-1")).text(path)
+    return path
+
+
 def parse_run_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """Run-log lines to columns; exported rows are read from the message. Other lines are dropped."""
     part = lambda i: F.regexp_extract(F.col(column), LOG_LINE, i)

@@ -92,3 +92,38 @@ def test_shuffle_size(spark, shuffles):
 
 def test_no_setting_is_left_behind(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+LOG = [f"[2024-01-02T03:04:{i % 60:02d}Z] [{'OK' if i % 3 else 'ERROR'}] [ch_{i % 7}] [s {chr(0x10A0 + i % 40)}\u0a05\u0100 \U0001f600] Exported {i} rows to f.csv" for i in range(500)]
+
+
+@pytest.mark.parametrize("encoding, newline, mark", [("utf-16-le", "\r\n", True), ("utf-16-le", "\r\n", False), ("utf-16-be", "\r\n", True), ("utf-8", "\n", True), ("utf-8", "\r\n", False)])
+@pytest.mark.parametrize("split", [100, 4096, 1 << 20])
+def test_run_log_in_its_own_encoding(spark, tmp_path, encoding, newline, mark, split):
+    name = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "utf-8": "UTF-8"}[encoding]
+    (tmp_path / "run.log").write_bytes(("\ufeff" * mark + newline.join(LOG) + newline).encode(encoding))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(split, 2000)))
+        lines = sections.read_run_log(spark, str(tmp_path), name, newline)
+        assert rows(lines) == sorted(((x,) for x in LOG), key=repr)
+        twin = spark.createDataFrame([(x,) for x in LOG], "value string")
+        assert rows(sections.parse_run_log(lines)) == rows(sections.parse_run_log(twin))
+        assert split > 2000 or lines.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_run_log_cut_short_and_empty(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes("\ufeffone\r\ntwo".encode("utf-16-le")[:-1])
+    (tmp_path / "b.log").write_bytes(b"")
+    assert rows(sections.read_run_log(spark, str(tmp_path))) == [("one",), ("tw",)]
+
+
+def test_run_log_as_a_stream_equals_the_batch(spark, tmp_path):
+    path = sections.write_run_log(spark.createDataFrame([(x,) for x in LOG], "value string").repartition(4), f"{tmp_path}/logs")
+    query = (sections.parse_run_log(sections.read_run_log(spark, path, stream=True)).writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(sections.parse_run_log(sections.read_run_log(spark, path)))
+    assert len(rows(sections.read_run_log(spark, path))) == len(LOG)
