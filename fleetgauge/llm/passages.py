@@ -4,6 +4,12 @@ Seeds are k-word grams, one from every window of neighbouring grams (the smalles
 run of `k + window - 1` equal words shares one. Each seed links its documents to the first
 document that has it, in a star: the number of matches never exceeds the number of seeds.
 
+The first document with a seed need not have the passage that two others share around it. So
+wherever a match does not lie in a passage as long as those looked for, the words around it give
+longer seeds, which form stars of their own (`levels`). The last ones are `min_words` words long:
+documents with one of these in common do share a passage, so no exact passage is lost, however
+many documents have pieces of it, and the work stays in proportion to the matches.
+
 The matches of a pair are chained in order in both texts, best score first, with a Fenwick tree
 over the second text that answers "best chain ending before here" and a cost for the words
 skipped. Chains are then aligned word by word on the full texts and extended at both ends; a chain
@@ -20,14 +26,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.bytewise import SPACE_WORD, buffers, gram_hashes, pieces, position, ranked, sliding_min, word_hashes
+from fleetgauge.operators.skew import attach_group, salted_join
 from fleetgauge.session import write_once
 
-KMER, WINDOW = 8, 16
+KMER, WINDOW = 4, 16
 #: Shortest passage reported, in words of either text, and the part of the longer side that must be equal.
 MIN_WORDS, SIMILARITY = 50, 0.8
 #: Cost per word skipped in either text; a seed is worth its k words.
-GAP = 0.2
-SALTS = 32
+GAP = 0.05
+#: Texts compared with one copy of their leader's text.
+MEMBERS = 512
+
+
+def levels(k: int, window: int, min_words: int) -> list[tuple[int, int]]:
+    """Words of a seed and grams of a window, level by level: the length doubles up to a whole passage."""
+    out = [(k, window)]
+    while out[-1][0] < min_words:
+        longer = min(2 * out[-1][0], min_words)
+        # so many neighbouring grams fit in a passage, so each passage has a seed
+        out.append((longer, min(window, min_words - longer + 1)))
+    return out
+
+
+def seeds_around(words: np.ndarray, at: np.ndarray, k: int, spans: Sequence[tuple[int, int]], min_words: int, longer: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longer seeds of every run of `min_words` words that holds one of the k-word grams and is not inside one of the spans."""
+    n = len(words) - min_words + 1
+    if n <= 0 or not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, np.clip(at + k - min_words, 0, n), 1)
+    np.add.at(steps, np.clip(at + 1, 0, n), -1)
+    left = np.cumsum(steps[:-1]) > 0
+    for s, e in spans:
+        left[s:e - min_words + 1] = False
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], left, [False]]).astype(np.int8)))
+    if not len(edges):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    begin, size = edges[::2], edges[1::2] - edges[::2] + min_words - 1
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(cuts[-1]) + np.repeat(begin - cuts[:-1], size)
+    found, first = seed_positions(words[take], cuts, longer, window)
+    # neighbouring runs may overlap
+    at, once = np.unique(take[first], return_index=True)
+    return found[once], at
 
 
 def seed_positions(words: np.ndarray, rows: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,63 +246,87 @@ def aligned(x: np.ndarray, y: np.ndarray, a: Sequence[int], b: Sequence[int], k:
     return sorted(out)
 
 
-_PASSAGE = "doc_id long, start long, stop long, other_id long, other_start long, other_stop long, n_equal long, similarity double"
-
+_DOCUMENT = ["_none", "_key", "_hash"]
+_LEADER = ["r_none", "r_key", "r_hash"]
+_SEED = "_none boolean, _key long, _hash long, seed long, at int"
+_FOUND = "r_none boolean, r_key long, start long, stop long, other_start long, other_stop long, n_equal long, similarity double"
 
-def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = KMER, window: int = WINDOW,
-                    min_words: int = MIN_WORDS, similarity: float = SIMILARITY, gap: float = GAP) -> DataFrame:
-    """One row per passage of a document and the earlier document that it is linked to.
-
-    doc_id, [start, stop) in words, other_id, [other_start, other_stop), n_equal, similarity
-    (n_equal by the longer span). Passages have at least `min_words` words in both texts. `other`
-    has the smallest id, then text hash, of the documents with one of the seeds, so documents
-    with a common passage meet in one star. Words are runs without ASCII white space, A-Z lower-cased.
-    Null, empty and short texts share nothing; a null id sorts last; rows alike in id and text
-    are one document; copies with ids of their own are linked as whole passages. Other columns
-    are not read.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
 
+def _first_seeds(rows: DataFrame, k: int, window: int) -> DataFrame:
+    """The seeds of whole texts."""
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(2))
+            data, offsets = buffers(batch.column(3))
             for lo, hi in pieces(offsets):
                 words, cuts = word_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], SPACE_WORD)
                 found, at = seed_positions(words, cuts, k, window)
                 row = np.searchsorted(cuts, at, "right") - 1
                 take = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found.view(np.int64)), pa.array((at - cuts[row]).astype(np.int32))],
-                                                 ["_id", "_hash", "seed", "at"])
-
-    seeded = write_once(rows.mapInArrow(seeds, "_id long, _hash long, seed long, at int"), "seeds")
-    first = F.min(F.struct(F.col("_id").isNull().alias("o"), "_id", "_hash", "at"))
-    firsts = seeded.groupBy("seed").agg(F.count("*").alias("_n"), first.alias("f")).filter("_n > 1").select(F.col("seed").alias("_s"), "f")
-    star = seeded.join(firsts, seeded["seed"] == firsts["_s"]).filter(~(F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_hash") == F.col("f._hash"))))
-    # matches of one pair of documents; no more than the seeds of one text
-    pairs = star.groupBy("_id", "_hash", F.col("f._id").alias("r_id"), F.col("f._hash").alias("r_hash")).agg(F.array_sort(F.collect_set(F.struct("at", F.col("f.at").alias("r_at")))).alias("matches"))
-    pairs = write_once(pairs.withColumn("salt", F.pmod(F.xxhash64("_id", "_hash"), F.lit(SALTS))), "matches")
-    roles = pairs.select("_id", "_hash", "r_id", "r_hash", "salt", "matches").unionAll(
-        pairs.select(F.col("r_id").alias("_id"), F.col("r_hash").alias("_hash"), "r_id", "r_hash", "salt").distinct()
-        .select("*", F.lit(None).cast("array<struct<at:int,r_at:int>>").alias("matches"))).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
-    texts = rows.dropDuplicates(["_id", "_hash"])
-    stream = (texts.join(roles, texts["_id"].eqNullSafe(roles["_i"]) & (texts["_hash"] == roles["_h"]))
-              .select("r_id", "r_hash", "salt", "_id", "_hash", "matches", "_text"))
-    stream = stream.repartition("r_id", "r_hash", "salt").sortWithinPartitions("r_id", "r_hash", "salt", F.col("matches").isNotNull(), "_id", "_hash")
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(3)], pa.array(found.view(np.int64)), pa.array((at - cuts[row]).astype(np.int32))],
+                                                 [*_DOCUMENT, "seed", "at"])
+
+    return rows.mapInArrow(seeds, _SEED)
+
+
+def _matches(seeded: DataFrame) -> DataFrame:
+    """One row per document and the first document with one of its seeds, with the places of these
+    seeds in both; no more than the seeds of one text. `_part` deals the documents of a leader out."""
+    first = F.min(F.struct(*_DOCUMENT, "at"))
+    firsts = seeded.groupBy("seed").agg(F.count("*").alias("_n"), first.alias("f")).filter("_n > 1").select("seed", "f")
+    star = salted_join(seeded, firsts, ["seed"]).filter(F.struct(*_DOCUMENT) != F.struct(*[F.col(f"f.{c}") for c in _DOCUMENT]))
+    pairs = star.groupBy(*_DOCUMENT, *[F.col(f"f.{c}").alias(r) for c, r in zip(_DOCUMENT, _LEADER, strict=True)]).agg(
+        F.array_sort(F.collect_set(F.struct("at", F.col("f.at").alias("r_at")))).alias("matches"))
+    parts = F.ceil(F.col("_members") / MEMBERS)
+    return attach_group(write_once(pairs, "pairs"), _LEADER, {"_members": F.count(F.lit(1))}).select(
+        *_DOCUMENT, *_LEADER, F.pmod(F.xxhash64(*_DOCUMENT), parts).alias("_part"), "matches")
+
+
+def _compared(rows: DataFrame, pairs: DataFrame, k: int, next_level: tuple[int, int] | None, min_words: int, similarity: float, gap: float) -> DataFrame:
+    """Passages of every document and its leader, and below them the seeds of the next level (`seed` is not null)."""
+    lead = pairs.select(*[F.col(r).alias(c) for c, r in zip(_DOCUMENT, _LEADER, strict=True)], *_LEADER, "_part").distinct()
+    roles = pairs.unionByName(lead.withColumn("matches", F.lit(None).cast("array<struct<at:int,r_at:int>>")))
+    # only texts that take part; one text per document
+    texts = rows.join(roles.select(*_DOCUMENT).distinct(), _DOCUMENT, "left_semi").dropDuplicates(_DOCUMENT)
+    stream = texts.join(roles, _DOCUMENT).select(*_DOCUMENT, *_LEADER, "_part", "matches", "_text")
+    stream = stream.repartition(*_LEADER, "_part").sortWithinPartitions(*_LEADER, "_part", F.col("matches").isNotNull(), *_DOCUMENT)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, None
+        missed: set[int] = set()  # places in the leader of matches outside passages
+
+        def more(words: np.ndarray, places: np.ndarray, spans: list[tuple[int, int]], who: tuple, out: list[list]) -> None:
+            found, where = seeds_around(words, places, k, spans, min_words, *next_level)
+            for column, value in zip(out[:3], who, strict=True):
+                column += [value] * len(found)
+            for column in out[5:]:
+                column += [None] * len(found)
+            out[3] += found.view(np.int64).tolist()
+            out[4] += where.tolist()
+
+        def close(out: list[list]) -> None:
+            """Seeds of the leader: wherever it has one of the grams that were missed."""
+            if missed and next_level:
+                grams, start = gram_hashes(held, np.array([0, len(held)]), k)
+                more(held, start[np.isin(grams, grams[np.searchsorted(start, sorted(missed))])], [], at[:3], out)
+            missed.clear()
+
+        def packed(out: list[list]) -> pa.RecordBatch:
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 6, pa.float64()]
+            names = [c.split()[0] for c in f"{_SEED}, {_FOUND}".split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            data, offsets = buffers(batch.column(6))
-            r_ids, r_hashes, ids, matches = (batch.column(i).to_pylist() for i in (0, 1, 3, 5))
+            out: list[list] = [[] for _ in range(13)]
+            data, offsets = buffers(batch.column(8))
+            me, lead_of, matches = (list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)),
+                                    list(zip(*[batch.column(i).to_pylist() for i in range(3, 7)], strict=True)), batch.column(7).to_pylist())
             for lo, hi in pieces(offsets):
                 words, cuts = word_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], SPACE_WORD)
                 for i in range(lo, hi):
                     mine = words[cuts[i - lo]:cuts[i - lo + 1]]
                     if matches[i] is None:
-                        held, at = mine.copy(), (r_ids[i], r_hashes[i])
-                        continue
-                    if at != (r_ids[i], r_hashes[i]):
+                        close(out)
+                        held, at = mine.copy(), lead_of[i]
                         continue
                     a, b = [m["at"] for m in matches[i]], [m["r_at"] for m in matches[i]]
                     done: list[tuple[int, int]] = []
@@ -271,9 +336,43 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                             continue
                         for s, e, s2, e2, equal in aligned(mine, held, [a[c] for c in chain], [b[c] for c in chain], k, min_words, similarity):
                             done.append((s, e))
-                            for column, value in zip(out, (ids[i], s, e, r_ids[i], s2, e2, equal, equal / max(e - s, e2 - s2)), strict=True):
+                            for column, value in zip(out, (*me[i], None, None, at[0], at[1], s, e, s2, e2, equal, equal / max(e - s, e2 - s2)), strict=True):
                                 column.append(value)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:7]], pa.array(out[7], pa.float64())],
-                                             ["doc_id", "start", "stop", "other_id", "other_start", "other_stop", "n_equal", "similarity"])
+                    if next_level:
+                        more(mine, np.array(a, np.int64), done, me[i], out)
+                        missed.update(q for p, q in zip(a, b, strict=True) if not any(s <= p and p + k <= e for s, e in done))
+            yield packed(out)
+        out = [[] for _ in range(13)]
+        close(out)
+        yield packed(out)
+
+    return stream.mapInArrow(align, f"{_SEED}, {_FOUND}")
+
+
+def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = KMER, window: int = WINDOW,
+                    min_words: int = MIN_WORDS, similarity: float = SIMILARITY, gap: float = GAP) -> DataFrame:
+    """One row per passage of a document and the earlier document that it is linked to.
 
-    return stream.mapInArrow(align, _PASSAGE)
+    doc_id, [start, stop) in words, other_id, [other_start, other_stop), n_equal, similarity
+    (n_equal by the longer span). Passages have at least `min_words` words in both texts. `other`
+    has the smallest id, then text hash, of the documents with one of the seeds, so documents
+    with a common passage meet in stars; if that document has only a piece of the passage, the
+    others meet by longer seeds. Words are runs without ASCII white space, A-Z lower-cased.
+    Null, empty and short texts share nothing; a null id sorts last; rows alike in id and text
+    are one document; copies with ids of their own are linked as whole passages. Other columns
+    are not read.
+    """
+    rows = (docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
+            .select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).cast("long").alias("_key"), F.xxhash64("_text").alias("_hash"), "_text"))
+    steps = levels(k, window, min_words)
+    seeded, found = write_once(_first_seeds(rows, k, window), "seeds"), None
+    for n, (size, _) in enumerate(steps):
+        level = write_once(_compared(rows, _matches(seeded), size, steps[n + 1] if n + 1 < len(steps) else None, min_words, similarity, gap), "compared")
+        passages = level.filter("seed is null")
+        found = passages if found is None else found.unionAll(passages)
+        seeded = level.filter("seed is not null").select(*_DOCUMENT, "seed", "at")
+        if seeded.isEmpty():
+            break
+    shown = found.dropDuplicates([*_DOCUMENT, "r_none", "r_key", "start", "stop", "other_start", "other_stop"])
+    return shown.select(F.when(~F.col("_none"), F.col("_key")).alias("doc_id"), "start", "stop", F.when(~F.col("r_none"), F.col("r_key")).alias("other_id"),
+                        "other_start", "other_stop", "n_equal", "similarity")

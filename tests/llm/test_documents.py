@@ -342,3 +342,74 @@ def test_language_without_letters_or_labels(spark):
 
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in queries.llm_queries()] == [f"op{i}" for i in range(1, 14)]
+
+
+def _framed(i, middle):
+    """A text around a passage, all other words its own."""
+    return i, " ".join([f"x{i}_{j}" for j in range(30)] + middle + [f"y{i}_{j}" for j in range(30)])
+
+
+def test_pieces_before_the_whole_passage(spark):
+    """Three earlier documents hold overlapping pieces too short to report; the two with the whole still meet."""
+    whole = [f"p{i}" for i in range(90)]
+    docs = [_framed(1, whole[:49]), _framed(2, whole[20:69]), _framed(3, whole[41:]), _framed(4, whole), _framed(5, whole)]
+    for k in (4, 8):
+        found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string"), k=k).collect()
+        assert [(r.doc_id, r.start, r.stop, r.other_id, r.other_start, r.other_stop) for r in found] == [(5, 30, 120, 4, 30, 120)]
+
+
+def test_every_common_run_of_words_is_linked(spark):
+    """Against brute force: documents with 50 equal words in a row are linked, whatever pieces others hold."""
+    rng = random.Random(11)
+    stock = [[f"s{n}_{i}" for i in range(120)] for n in range(4)]
+    docs = []
+    for i in range(60):
+        body = [f"own{i}"]
+        for _ in range(3):
+            part = rng.choice(stock)
+            start, size = rng.randrange(0, 80), rng.choice([12, 30, 45, 49, 50, 51, 60, 80])
+            body += part[start:start + size] + [f"own{i}_{rng.random()}" for _ in range(rng.randrange(2, 30))]
+        docs.append((i, " ".join(body)))
+    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    group = {i: i for i, _ in docs}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for r in found:
+        group[root(r.doc_id)] = root(r.other_id)
+    runs: dict = {}
+    for i, text in docs:
+        words = text.split()
+        for j in range(len(words) - 49):
+            runs.setdefault(tuple(words[j:j + 50]), set()).add(i)
+    together = [ids for ids in runs.values() if len(ids) > 1]
+    assert len(together) > 20
+    assert all(len({root(i) for i in ids}) == 1 for ids in together)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+@pytest.mark.parametrize("spread", ["even", "random"])
+def test_recall_of_changed_passages(spark, similarity, spread):
+    """Passages of 200 words with a share of the words changed, evenly or at random."""
+    rng, docs, pairs = random.Random(4), [], 40
+    for n in range(pairs):
+        words = [f"{n}w{j}" for j in range(200)]
+        changed = round(200 * (1 - similarity))
+        at = {int((j + 0.5) * 200 / changed) for j in range(changed)} if spread == "even" else set(rng.sample(range(200), changed))
+        docs += [_framed(2 * n, words), _framed(2 * n + 1, [f"c{n}_{j}" if j in at else w for j, w in enumerate(words)])]
+    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.other_id + 1 and r.other_id % 2 == 0 for r in found)
+    got = {r.doc_id for r in found if r.stop - r.start >= 100 or similarity == 0.8}
+    print(similarity, spread, len(got) / pairs)
+    assert len(got) >= 0.9 * pairs
+
+
+def test_passages_in_rows_with_odd_ids(spark):
+    """Null ids, repeated rows, one id with two texts, clashing column names."""
+    whole = " ".join(f"p{i}" for i in range(70))
+    docs = [(None, whole, 1), (3, whole, 2), (3, whole, 2), (3, "a b " + whole, 3), (4, None, 4), (5, "", 5), (0, whole + " z", 6)]
+    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string, seed long")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.other_id, r.n_equal) for r in found) == [(-1, 0, 70), (3, 0, 70), (3, 0, 70)]
