@@ -29,10 +29,12 @@ from fleetgauge.llm.bytewise import SPACE_WORD, buffers, gram_hashes, pieces, po
 from fleetgauge.operators.skew import attach_group, salted_join
 from fleetgauge.session import write_once
 
-KMER, WINDOW = 4, 16
+#: Seeds of 8 words find nine in ten passages of 200 words with a tenth of the words changed, seeds of 4 words those with a
+#: fifth changed; but 4 words also meet by chance, and each such meeting moves a text.
+KMER, WINDOW = 8, 16
 #: Shortest passage reported, in words of either text, and the part of the longer side that must be equal.
 MIN_WORDS, SIMILARITY = 50, 0.8
-#: Cost per word skipped in either text; a seed is worth its k words.
+#: Cost per word skipped in either text; a seed is worth its k words. Low, as chains are cut again when aligned.
 GAP = 0.05
 #: Texts compared with one copy of their leader's text.
 MEMBERS = 512

@@ -390,9 +390,9 @@ def test_every_common_run_of_words_is_linked(spark):
     assert all(len({root(i) for i in ids}) == 1 for ids in together)
 
 
-@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+@pytest.mark.parametrize("similarity, k", [(0.8, 4), (0.85, 4), (0.9, passages.KMER)])
 @pytest.mark.parametrize("spread", ["even", "random"])
-def test_recall_of_changed_passages(spark, similarity, spread):
+def test_recall_of_changed_passages(spark, similarity, k, spread):
     """Passages of 200 words with a share of the words changed, evenly or at random."""
     rng, docs, pairs = random.Random(4), [], 40
     for n in range(pairs):
@@ -400,10 +400,9 @@ def test_recall_of_changed_passages(spark, similarity, spread):
         changed = round(200 * (1 - similarity))
         at = {int((j + 0.5) * 200 / changed) for j in range(changed)} if spread == "even" else set(rng.sample(range(200), changed))
         docs += [_framed(2 * n, words), _framed(2 * n + 1, [f"c{n}_{j}" if j in at else w for j, w in enumerate(words)])]
-    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string"), k=k).collect()
     assert all(r.doc_id == r.other_id + 1 and r.other_id % 2 == 0 for r in found)
     got = {r.doc_id for r in found if r.stop - r.start >= 100 or similarity == 0.8}
-    print(similarity, spread, len(got) / pairs)
     assert len(got) >= 0.9 * pairs
 
 
