@@ -34,8 +34,8 @@ from fleetgauge.session import write_once
 KMER, WINDOW = 8, 16
 #: Shortest passage reported, in words of either text, and the part of the longer side that must be equal.
 MIN_WORDS, SIMILARITY = 50, 0.8
-#: Cost per word skipped in either text; a seed is worth its k words. Low, as chains are cut again when aligned.
-GAP = 0.05
+#: Cost per word skipped in either text; a seed is worth its k words.
+GAP = 0.2
 #: Texts compared with one copy of their leader's text.
 MEMBERS = 512
 

@@ -400,7 +400,7 @@ def test_recall_of_changed_passages(spark, similarity, k, spread):
         changed = round(200 * (1 - similarity))
         at = {int((j + 0.5) * 200 / changed) for j in range(changed)} if spread == "even" else set(rng.sample(range(200), changed))
         docs += [_framed(2 * n, words), _framed(2 * n + 1, [f"c{n}_{j}" if j in at else w for j, w in enumerate(words)])]
-    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string"), k=k).collect()
+    found = passages.shared_passages(spark.createDataFrame(docs, "doc_id long, text string"), k=k, gap=0.05).collect()
     assert all(r.doc_id == r.other_id + 1 and r.other_id % 2 == 0 for r in found)
     got = {r.doc_id for r in found if r.stop - r.start >= 100 or similarity == 0.8}
     assert len(got) >= 0.9 * pairs
