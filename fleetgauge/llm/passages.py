@@ -50,14 +50,14 @@ def levels(k: int, window: int, min_words: int) -> list[tuple[int, int]]:
     return out
 
 
-def seeds_around(words: np.ndarray, at: np.ndarray, k: int, spans: Sequence[tuple[int, int]], min_words: int, longer: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longer seeds of every run of `min_words` words that holds one of the k-word grams and is not inside one of the spans."""
-    n = len(words) - min_words + 1
-    if n <= 0 or not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, np.clip(at + k - min_words, 0, n), 1)
-    np.add.at(steps, np.clip(at + 1, 0, n), -1)
+def seeds_around(words: np.ndarray, rows: np.ndarray, at: np.ndarray, k: int, spans: Sequence[tuple[int, int]], min_words: int, longer: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longer seeds of every run of `min_words` words that holds one of the k-word grams and is not inside one of the spans.
+
+    For all rows at once: `at` and `spans` count in `words`; `min_words` is at least two."""
+    row = np.searchsorted(rows, at, "right") - 1
+    low, high = rows[:-1][row], rows[1:][row] - min_words + 1
+    at, low, high = at[high > low], low[high > low], high[high > low]
+    steps = np.bincount(np.clip(at + k - min_words, low, high), minlength=len(words) + 1) - np.bincount(np.clip(at + 1, low, high), minlength=len(words) + 1)
     left = np.cumsum(steps[:-1]) > 0
     for s, e in spans:
         left[s:e - min_words + 1] = False
@@ -106,6 +106,8 @@ def chains(a: Sequence[int], b: Sequence[int], k: int, gap: float) -> list[list[
     skipped. With costs of gap * (words skipped in a + in b) the best predecessor is the largest
     of score + gap * (a + b), which a Fenwick tree over b keeps while a is swept.
     """
+    if len(a) == 1:
+        return [[0]]
     order = sorted(range(len(a)), key=lambda i: (a[i], -b[i]))
     ranks = {v: i + 1 for i, v in enumerate(sorted(set(b)))}
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(ranks) + 1)
@@ -138,15 +140,16 @@ def chains(a: Sequence[int], b: Sequence[int], k: int, gap: float) -> list[list[
     return found
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n, at, step = min(len(x), len(y)), 0, 64
-    while at < n:
-        differ = np.flatnonzero(x[at:min(at + step, n)] != y[at:min(at + step, n)])
-        if len(differ):
-            return at + int(differ[0])
+def _common(x: list[int], i: int, y: list[int], j: int, n: int) -> int:
+    """Equal words from x[i] and y[j] on, n at most: steps double while they are equal, then halve."""
+    at, step = 0, 1
+    while at + step <= n and x[i + at:i + at + step] == y[j + at:j + at + step]:
         at, step = at + step, 2 * step
-    return n
+    while step > 1:
+        step //= 2
+        if at + step <= n and x[i + at:i + at + step] == y[j + at:j + at + step]:
+            at += step
+    return at
 
 
 def _lcs(x: list[int], y: list[int]) -> int:
@@ -164,85 +167,103 @@ def _lcs(x: list[int], y: list[int]) -> int:
     return len(y) - row.bit_count()
 
 
-def _between(x: np.ndarray, y: np.ndarray) -> int:
+def _between(x: Sequence[int], y: Sequence[int]) -> int:
     """Equal words of two gaps in order."""
-    head = _common(x, y)
-    x, y = x[head:], y[head:]
-    tail = _common(x[::-1], y[::-1])
-    x, y = x[:len(x) - tail], y[:len(y) - tail]
-    x, y = x[np.isin(x, y)], y[np.isin(y, x)]
-    return head + tail + (_lcs(x.tolist(), y.tolist()) if len(x) and len(y) else 0)
-
-
-def _extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
-    """How far two texts go on alike: words taken of each and how many are equal. A changed,
-    added or lost word is stepped over if at least three equal words follow it."""
-    i = j = equal = 0
+    x, y = list(x), list(y)
+    head = _common(x, 0, y, 0, min(len(x), len(y)))
+    x, y = x[:head - 1:-1] if head else x[::-1], y[:head - 1:-1] if head else y[::-1]
+    tail = _common(x, 0, y, 0, min(len(x), len(y)))
+    both = set(x[tail:]) & set(y[tail:])
+    return head + tail + (_lcs([v for v in x[tail:] if v in both], [v for v in y[tail:] if v in both]) if both else 0)
+
+
+def _extend(x: list[int], i: int, end: int, y: list[int], j: int, end2: int) -> tuple[int, int, int]:
+    """How far two texts go on alike from x[i] and y[j], up to `end` and `end2`: words taken of each
+    and how many are equal. A changed, added or lost word is stepped over if at least three equal words follow it."""
+    start, start2, equal = i, j, 0
     while True:
-        run = _common(x[i:], y[j:])
+        run = _common(x, i, y, j, min(end - i, end2 - j))
         i, j, equal = i + run, j + run, equal + run
-        steps = [(u, v) for u, v in ((1, 1), (1, 0), (0, 1), (2, 2)) if _common(x[i + u:i + u + 3], y[j + v:j + v + 3]) == 3]
-        if not steps:
-            return i, j, equal
-        i, j = i + steps[0][0], j + steps[0][1]
+        for u, v in ((1, 1), (1, 0), (0, 1), (2, 2)):
+            if i + u + 3 <= end and j + v + 3 <= end2 and x[i + u:i + u + 3] == y[j + v:j + v + 3]:
+                i, j = i + u, j + v
+                break
+        else:
+            return i - start, j - start2, equal
+
+
+class Words:
+    """The word hashes of a text, as an array and as lists in both directions."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.ahead = hashes.tolist()
+        self.back = self.ahead[::-1]
 
 
-def aligned(x: np.ndarray, y: np.ndarray, a: Sequence[int], b: Sequence[int], k: int, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
+def aligned(x: Words, y: Words, a: Sequence[int], b: Sequence[int], k: int, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
     """Passages of a chain of matches of k words: span in x, span in y and equal words of each.
 
     Seeds that touch or overlap are one run. If the chain as a whole is not similar enough, its
     longest part that is becomes a passage and the runs on both sides of that are looked at again,
-    down to single runs.
+    down to single runs. No part reaches beyond the whole, so a whole that is too short is none.
     """
     runs: list[list[int]] = []  # start and end in x, start and end in y
-    equal: list[int] = []  # between each run and the next
     for p, q in zip(a, b, strict=True):
         if runs:
             step = max(runs[-1][1] - p, runs[-1][3] - q, 0)  # the part of this seed that is counted already
             if step >= k:
                 continue
-            i, j = runs[-1][1], runs[-1][3]
             p, q, end = p + step, q + step, k - step
-            if p == i and q == j:
+            if p == runs[-1][1] and q == runs[-1][3]:
                 runs[-1][1], runs[-1][3] = p + end, q + end
                 continue
-            equal.append(_between(x[i:p], y[j:q]))
             runs.append([p, p + end, q, q + end])
         else:
             runs.append([p, p + k, q, q + k])
-    start_x, stop_x, start_y, stop_y = (np.array(c, np.int64) for c in zip(*runs, strict=True))
+    n_x, n_y = len(x.ahead), len(y.ahead)
+
+    def before(run: list[int], low: int, low2: int) -> tuple[int, int, int]:
+        return _extend(x.back, n_x - run[0], n_x - low, y.back, n_y - run[2], n_y - low2)
+
+    def behind(run: list[int], high: int, high2: int) -> tuple[int, int, int]:
+        return _extend(x.ahead, run[1], high, y.ahead, run[3], high2)
+
+    # how far the chain goes on into the text
+    head, tail = before(runs[0], 0, 0), behind(runs[-1], n_x, n_y)
+    s, e, s2, e2 = runs[0][0] - head[0], runs[-1][1] + tail[0], runs[0][2] - head[1], runs[-1][3] + tail[1]
+    if min(e - s, e2 - s2) < min_words:
+        return []
+    # equal words between each run and the next
+    equal = [_between(x.ahead[r[1]:t[0]], y.ahead[r[3]:t[2]]) for r, t in zip(runs[:-1], runs[1:], strict=True)]
+    same = head[2] + sum(r[1] - r[0] for r in runs) + sum(equal) + tail[2]
+    if same >= similarity * max(e - s, e2 - s2):
+        return [(s, e, s2, e2, same)]
+    n = len(runs)
+    if n == 1:
+        return []
+    start_x, stop_x, start_y, stop_y = np.array(runs, np.int64).T
     # equal words before each run, counted from the first
     upto = np.concatenate([[0], np.cumsum((stop_x - start_x)[:-1] + np.array(equal, np.int64))])
-    n = len(runs)
     # how far each run goes on to the left and to the right: into the gap, at the ends of the chain into the text
-    left, right = np.zeros((n, 3), np.int64), np.zeros((n, 3), np.int64)
-    left[0] = _extend(x[:start_x[0]][::-1], y[:start_y[0]][::-1])
-    right[-1] = _extend(x[stop_x[-1]:], y[stop_y[-1]:])
+    left = np.array([head, *[before(t, r[1], r[3]) for r, t in zip(runs[:-1], runs[1:], strict=True)]], np.int64)
+    right = np.array([*[behind(r, t[0], t[2]) for r, t in zip(runs[:-1], runs[1:], strict=True)], tail], np.int64)
 
-    def spans(first: np.ndarray | int, last: np.ndarray | int) -> tuple:
+    def spans(first: np.ndarray, last: np.ndarray) -> tuple:
         s, e = start_x[first] - left[first, 0], stop_x[last] + right[last, 0]
         s2, e2 = start_y[first] - left[first, 1], stop_y[last] + right[last, 1]
         return s, e, s2, e2, upto[last] - upto[first] + stop_x[last] - start_x[last] + left[first, 2] + right[last, 2]
 
-    def similar(first: np.ndarray | int, last: np.ndarray | int) -> np.ndarray:
-        s, e, s2, e2, same = spans(first, last)
-        return (np.minimum(e - s, e2 - s2) >= min_words) & (same >= similarity * np.maximum(e - s, e2 - s2))
-
-    if similar(0, n - 1):
-        return [tuple(int(v) for v in spans(0, n - 1))]
-    for i in range(1, n):
-        gap_x, gap_y = x[stop_x[i - 1]:start_x[i]], y[stop_y[i - 1]:start_y[i]]
-        left[i] = _extend(gap_x[::-1], gap_y[::-1])
-        right[i - 1] = _extend(gap_x, gap_y)
     out, todo = [], [(0, n)]
     while todo:
         lo, hi = todo.pop()
         for size in range(hi - lo, 0, -1):
             first = np.arange(lo, hi - size + 1)
-            fits = np.flatnonzero(similar(first, first + size - 1))
+            s, e, s2, e2, same = spans(first, first + size - 1)
+            fits = np.flatnonzero((np.minimum(e - s, e2 - s2) >= min_words) & (same >= similarity * np.maximum(e - s, e2 - s2)))
             if len(fits):
-                i = lo + int(fits[0])
-                out.append(tuple(int(v) for v in spans(i, i + size - 1)))
+                i, at = lo + int(fits[0]), fits[0]
+                out.append(tuple(int(c[at]) for c in (s, e, s2, e2, same)))
                 todo += [part for part in ((lo, i), (i + size, hi)) if part[0] < part[1]]
                 break
     return sorted(out)
@@ -292,45 +313,47 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, next_level: tuple[int,
     stream = texts.join(roles, _DOCUMENT).select(*_DOCUMENT, *_LEADER, "_part", "matches", "_text")
     stream = stream.repartition(*_LEADER, "_part").sortWithinPartitions(*_LEADER, "_part", F.col("matches").isNotNull(), *_DOCUMENT)
 
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 6, pa.float64()]
+    names = [c.split()[0] for c in f"{_SEED}, {_FOUND}".split(", ")]
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, None
         missed: set[int] = set()  # places in the leader of matches outside passages
+        around: list[tuple] = []  # texts that give longer seeds: document, words, places, spans
 
-        def more(words: np.ndarray, places: np.ndarray, spans: list[tuple[int, int]], who: tuple, out: list[list]) -> None:
-            found, where = seeds_around(words, places, k, spans, min_words, *next_level)
-            for column, value in zip(out[:3], who, strict=True):
-                column += [value] * len(found)
-            for column in out[5:]:
-                column += [None] * len(found)
-            out[3] += found.view(np.int64).tolist()
-            out[4] += where.tolist()
-
-        def close(out: list[list]) -> None:
+        def close() -> None:
             """Seeds of the leader: wherever it has one of the grams that were missed."""
             if missed and next_level:
-                grams, start = gram_hashes(held, np.array([0, len(held)]), k)
-                more(held, start[np.isin(grams, grams[np.searchsorted(start, sorted(missed))])], [], at[:3], out)
+                grams, start = gram_hashes(held.hashes, np.array([0, len(held.hashes)]), k)
+                around.append((at[:3], held.hashes, start[np.isin(grams, grams[np.searchsorted(start, sorted(missed))])], []))
             missed.clear()
 
-        def packed(out: list[list]) -> pa.RecordBatch:
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 6, pa.float64()]
-            names = [c.split()[0] for c in f"{_SEED}, {_FOUND}".split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+        def seeds() -> pa.RecordBatch:
+            rows = np.concatenate([[0], np.cumsum([len(words) for _, words, _, _ in around])])
+            found, where = seeds_around(
+                np.concatenate([words for _, words, _, _ in around]), rows, np.concatenate([places + begin for (_, _, places, _), begin in zip(around, rows[:-1], strict=True)]), k,
+                [(s + begin, e + begin) for (*_, spans), begin in zip(around, rows[:-1].tolist(), strict=True) for s, e in spans], min_words, *next_level)
+            row = np.searchsorted(rows, where, "right") - 1
+            take = pa.array(row)
+            who = [pa.array([x[0][i] for x in around], kinds[i]).take(take) for i in range(3)]
+            around.clear()
+            return pa.RecordBatch.from_arrays([*who, pa.array(found.view(np.int64)), pa.array((where - rows[row]).astype(np.int32)), *[pa.nulls(len(row), t) for t in kinds[5:]]], names)
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(13)]
+            out: list[tuple] = []
             data, offsets = buffers(batch.column(8))
-            me, lead_of, matches = (list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)),
-                                    list(zip(*[batch.column(i).to_pylist() for i in range(3, 7)], strict=True)), batch.column(7).to_pylist())
+            me, lead_of = (list(zip(*[batch.column(i).to_pylist() for i in columns], strict=True)) for columns in (range(3), range(3, 7)))
+            leads, bounds = batch.column(7).is_null().to_pylist(), batch.column(7).offsets.to_pylist()
+            places, other_places = (c.to_numpy() for c in batch.column(7).values.flatten())
             for lo, hi in pieces(offsets):
                 words, cuts = word_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], SPACE_WORD)
                 for i in range(lo, hi):
-                    mine = words[cuts[i - lo]:cuts[i - lo + 1]]
-                    if matches[i] is None:
-                        close(out)
-                        held, at = mine.copy(), lead_of[i]
+                    mine = Words(words[cuts[i - lo]:cuts[i - lo + 1]])
+                    if leads[i]:
+                        close()
+                        held, at = Words(mine.hashes.copy()), lead_of[i]
                         continue
-                    a, b = [m["at"] for m in matches[i]], [m["r_at"] for m in matches[i]]
+                    a, b = places[bounds[i]:bounds[i + 1]].tolist(), other_places[bounds[i]:bounds[i + 1]].tolist()
                     done: list[tuple[int, int]] = []
                     for chain in chains(a, b, k, gap):
                         # a chain inside a passage that is out already says nothing new
@@ -338,15 +361,17 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, next_level: tuple[int,
                             continue
                         for s, e, s2, e2, equal in aligned(mine, held, [a[c] for c in chain], [b[c] for c in chain], k, min_words, similarity):
                             done.append((s, e))
-                            for column, value in zip(out, (*me[i], None, None, at[0], at[1], s, e, s2, e2, equal, equal / max(e - s, e2 - s2)), strict=True):
-                                column.append(value)
+                            out.append((*me[i], None, None, at[0], at[1], s, e, s2, e2, equal, equal / max(e - s, e2 - s2)))
                     if next_level:
-                        more(mine, np.array(a, np.int64), done, me[i], out)
+                        around.append((me[i], mine.hashes, np.array(a, np.int64), done))
                         missed.update(q for p, q in zip(a, b, strict=True) if not any(s <= p and p + k <= e for s, e in done))
-            yield packed(out)
-        out = [[] for _ in range(13)]
-        close(out)
-        yield packed(out)
+                if around:
+                    yield seeds()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        close()
+        if around:
+            yield seeds()
 
     return stream.mapInArrow(align, f"{_SEED}, {_FOUND}")
 

@@ -321,6 +321,66 @@ def test_gaps_count_all_equal_words():
     assert passages._between(np.concatenate([[1], x, [2]]), np.concatenate([[4], np.arange(900), [5]])) == len(x)
 
 
+def test_chains_too_short_for_a_passage_are_not_aligned(monkeypatch):
+    """Most chains are words met by chance: what their gaps have in common is not asked for."""
+    def never(*_):
+        raise AssertionError("gap compared")
+
+    monkeypatch.setattr(passages, "_between", never)
+    one, two = np.arange(1000, dtype=np.uint64), np.arange(5000, 6000, dtype=np.uint64)
+    two[300:308], two[311:319] = one[100:108], one[112:120]
+    assert passages.aligned(passages.Words(one), passages.Words(two), [100, 112], [300, 311], 8, 50, 0.8) == []
+    assert passages.aligned(passages.Words(one), passages.Words(one.copy()), [100], [100], 8, 50, 0.8) == [(0, 1000, 0, 1000, 1000)]
+
+
+def test_texts_go_on_alike_word_by_word():
+    """Against plain loops, with words changed, added and lost."""
+    rng = random.Random(5)
+
+    def plain(x, y):
+        i = j = equal = 0
+        while True:
+            while i < len(x) and j < len(y) and x[i] == y[j]:
+                i, j, equal = i + 1, j + 1, equal + 1
+            for u, v in ((1, 1), (1, 0), (0, 1), (2, 2)):
+                a, b = x[i + u:i + u + 3], y[j + v:j + v + 3]
+                if len(a) == 3 and a == b:
+                    i, j = i + u, j + v
+                    break
+            else:
+                return i, j, equal
+
+    for _ in range(400):
+        x = [rng.randrange(2**63) for _ in range(rng.randrange(0, 300))]
+        y = list(x)
+        for _ in range(rng.choice([0, 1, 3, 30])):
+            at = rng.randrange(len(y) + 1)
+            y[at:at + rng.choice([0, 1, 1, 2])] = [rng.randrange(9)] * rng.choice([0, 1, 2])
+        begin, end = rng.randrange(len(x) + 1), rng.randrange(len(y) + 1)
+        low, low2 = min(begin, len(y)), min(end, len(y))
+        assert passages._extend(x, low, len(x), y, low, low2) == plain(x[low:], y[low:low2])
+        run = passages._common(x, 0, y, 0, min(len(x), low2))
+        assert x[:run] == y[:run] and (run == min(len(x), low2) or x[run] != y[run])
+
+
+def test_longer_seeds_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(6)
+    sizes = [0, 30, 50, 51, 400, 0, 49, 700, 120]
+    rows = np.concatenate([[0], np.cumsum(sizes)])
+    words = rng.integers(1, 2**62, rows[-1]).astype(np.uint64)
+    places = [np.sort(rng.choice(max(n - 7, 1), min(n // 20, 9), replace=False)) if n > 7 else np.zeros(0, np.int64) for n in sizes]
+    spans = [[(100, 170), (300, 360)] if n >= 400 else [] for n in sizes]
+
+    def found(rows, words, places, spans):
+        return passages.seeds_around(words, rows, places, 8, spans, 50, 16, 16)
+
+    got, at = found(rows, words, np.concatenate([p + r for p, r in zip(places, rows)]), [(s + r, e + r) for x, r in zip(spans, rows.tolist()) for s, e in x])
+    each = [found(np.array([0, n]), words[r:r + n], p, x) for n, r, p, x in zip(sizes, rows, places, spans)]
+    assert len(got) and got.tolist() == [v for one, _ in each for v in one.tolist()]
+    assert at.tolist() == [v + r for (_, where), r in zip(each, rows.tolist()) for v in where.tolist()]
+    assert all(rows[1:][np.searchsorted(rows, at, "right") - 1] >= at + 16)
+
+
 def test_passages_of_an_empty_table(spark):
     assert passages.shared_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
