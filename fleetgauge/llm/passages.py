@@ -300,7 +300,7 @@ def _matches(seeded: DataFrame) -> DataFrame:
     pairs = star.groupBy(*_DOCUMENT, *[F.col(f"f.{c}").alias(r) for c, r in zip(_DOCUMENT, _LEADER, strict=True)]).agg(
         F.array_sort(F.collect_set(F.struct("at", F.col("f.at").alias("r_at")))).alias("matches"))
     parts = F.ceil(F.col("_members") / MEMBERS)
-    return attach_group(write_once(pairs, "pairs"), _LEADER, {"_members": F.count(F.lit(1))}).select(
+    return attach_group(write_once(pairs, "pairs", drop_shuffles=True), _LEADER, {"_members": F.count(F.lit(1))}).select(
         *_DOCUMENT, *_LEADER, F.pmod(F.xxhash64(*_DOCUMENT), parts).alias("_part"), "matches")
 
 
@@ -392,9 +392,9 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = (docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
             .select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).cast("long").alias("_key"), F.xxhash64("_text").alias("_hash"), "_text"))
     steps = levels(k, window, min_words)
-    seeded, found = write_once(_first_seeds(rows, k, window), "seeds"), None
+    seeded, found = write_once(_first_seeds(rows, k, window), "seeds", drop_shuffles=True), None
     for n, (size, _) in enumerate(steps):
-        level = write_once(_compared(rows, _matches(seeded), size, steps[n + 1] if n + 1 < len(steps) else None, min_words, similarity, gap), "compared")
+        level = write_once(_compared(rows, _matches(seeded), size, steps[n + 1] if n + 1 < len(steps) else None, min_words, similarity, gap), "compared", drop_shuffles=True)
         passages = level.filter("seed is null")
         found = passages if found is None else found.unionAll(passages)
         seeded = level.filter("seed is not null").select(*_DOCUMENT, "seed", "at")

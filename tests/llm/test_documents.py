@@ -1,12 +1,16 @@
 """The operators on documents, against brute force on awkward texts and on a whole small table."""
 
+import glob
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetgauge.llm import decontamination, language_id, mixing, near_duplicates, passages, personal_data, quality, queries, repeated_strings
+from fleetgauge.session import DROP_SHUFFLES, write_once
 from tests.conftest import rows
 from tests.llm import brute
 
@@ -381,6 +385,24 @@ def test_longer_seeds_of_many_texts_are_those_of_each():
     assert all(rows[1:][np.searchsorted(rows, at, "right") - 1] >= at + 16)
 
 
+def test_shuffle_files_of_a_written_table_go(spark):
+    """They are not left to the driver's garbage collection, and the setting is as before."""
+    def files():
+        return set(glob.glob(f"{spark.sparkContext.getConf().get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data"))
+
+    before, setting = files(), spark.conf.get(DROP_SHUFFLES, None)
+    counted = spark.range(20_000).groupBy(F.xxhash64("id").alias("g")).count()
+    again = write_once(counted, "counted", drop_shuffles=True)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(DROP_SHUFFLES, None) == setting
+    assert again.count() == counted.count() == 20_000
+    write_once(counted, "counted")
+    assert files() - before
+
+
 def test_passages_of_an_empty_table(spark):
     assert passages.shared_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
