@@ -70,6 +70,19 @@ def _spread_columns(fact: DataFrame, keys: Sequence[str]) -> list[str]:
     return [f.name for f in fact.schema if f.name not in keys and isinstance(f.dataType, cheap)][:2]
 
 
+def _pieces(df: DataFrame, keys: Sequence[str], hot_rows: int | None, counted: DataFrame | None) -> DataFrame:
+    """The hot hashes and the number of parts that each is spread over."""
+    limit = hot_rows or HOT_ROWS
+    return hot_keys(df, keys, limit, counted).select("_hot", F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
+
+
+def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`df` with `_salt`, the part of its hot key that a row belongs to, 0 for other keys."""
+    cheap = _spread_columns(df, keys)
+    number = (F.xxhash64(*[df[c] for c in cheap]) if cheap else F.lit(0)) + F.spark_partition_id()
+    return _marked(df, hot, keys, "left", F.coalesce(F.pmod(number, F.col("_pieces")), F.lit(0)).cast("int").alias("_salt"))
+
+
 def salted_join(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner",
                 hot_rows: int | None = None, null_safe: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """Equi-join of a fact table to a lookup with few rows per key.
@@ -81,11 +94,8 @@ def salted_join(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     (`_rows`).
     """
     keys = list(keys)
-    limit = hot_rows or HOT_ROWS
-    hot = hot_keys(fact, keys, limit, counted).select("_hot", F.least(F.ceil(F.col("_rows") / limit) + 1, F.lit(MAX_PIECES)).cast("int").alias("_pieces"))
-    cheap = _spread_columns(fact, keys)
-    number = (F.xxhash64(*[fact[c] for c in cheap]) if cheap else F.lit(0)) + F.spark_partition_id()
-    left = _marked(fact, hot, keys, "left", F.coalesce(F.pmod(number, F.col("_pieces")), F.lit(0)).cast("int").alias("_salt"))
+    hot = _pieces(fact, keys, hot_rows, counted)
+    left = _salted(fact, hot, keys)
     every = F.sequence(F.lit(0), F.coalesce(F.col("_pieces") - 1, F.lit(0)))
     right = (_marked(lookup, hot, keys, "left", F.explode(every).alias("_r_salt"))
              .withColumnsRenamed({k: f"_r_{k}" for k in keys}))
@@ -242,3 +252,12 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     window = Window.partitionBy(*keys).orderBy(*order)
     rank = F.rank() if ties else F.row_number()
     return df.withColumn(out, rank.over(window)).filter(F.col(out) <= n)
+
+
+def top_candidates(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_rows: int | None = None,
+                   counted: DataFrame | None = None) -> DataFrame:
+    """The rows that tie for first in their part of a key, so all that tie for first of the key and, of a hot
+    key, some others. Rows are cut before the shuffle, and those of a hot key go to several tasks."""
+    keys = list(keys)
+    salted = _salted(df, _pieces(df, keys, hot_rows, counted), keys)
+    return top_rows(salted, [*keys, "_salt"], order, 1, ties=True).select(*df.columns)

@@ -11,7 +11,7 @@ from fleetgauge.functions.labels import flag
 from fleetgauge.functions.numbers import exact, ratio, row_count, whole_ratio
 from fleetgauge.functions.times import boundary_diff, instant
 from fleetgauge.operators.joins import attach_scalar
-from fleetgauge.operators.skew import Scan, attach_group, ordered_scan, salted_join, top_rows
+from fleetgauge.operators.skew import Scan, attach_group, ordered_scan, salted_join, top_candidates, top_rows
 
 
 def gaps(df: DataFrame, keys: Sequence[str], ts: str, start: str | None = None, tie: Sequence[str] = (),
@@ -111,12 +111,13 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
 def latest_ties(df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int | None = None) -> DataFrame:
     """All rows at the latest time of their key; ties are kept. Rows of a key without any time tie.
 
-    The latest time per key is an aggregate; the rows are met by key and time, so however many tie,
-    no task has to hold or sort them.
+    The latest time per key is an aggregate. Every map partition is cut to its latest rows before the shuffle;
+    what is left is met by key and time, so however many tie, no task has to hold or sort them.
     """
     keys = list(keys)
-    top = df.groupBy(*keys).agg(F.max(ts).alias(ts))
-    return salted_join(df, top, [*keys, ts], "left_semi", hot_rows, null_safe=True).select(*df.columns)
+    top = df.groupBy(*keys).agg(F.max(ts).alias(ts), F.count(F.lit(1)).alias("_rows"))
+    near = top_candidates(df, keys, [F.desc_nulls_last(ts)], hot_rows, top.select(*keys, "_rows"))
+    return salted_join(near, top.drop("_rows"), [*keys, ts], "left_semi", hot_rows, True, top).select(*df.columns)
 
 
 def last_n_stats(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ts: str, size: Column,

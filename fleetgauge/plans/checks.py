@@ -343,7 +343,8 @@ def _(t, now):
         "details": F.concat(F.col("type_desc"), F.when(F.col("is_unique"), ", UQ").otherwise(""), F.when(F.col("is_primary_key"), ", PK").otherwise("")),
         "columns": F.concat(F.lit(" ("), F.array_join("key_columns", ", "), F.lit(")"), F.when(F.size("include_columns") > 0, F.concat(F.lit(" INCLUDE ("), F.array_join("include_columns", ", "), F.lit(")"))).otherwise(""))})
     matches = overlap.matching_indexes(wanted, have, O, carry=["details", "columns"])
-    return {"matches": matches, "wanted": overlap.evidence_text(wanted, matches, O, details=F.col("details"), tail=F.col("columns"))}
+    described = overlap.evidence_text(wanted, matches, O, details=F.col("details"), tail=F.col("columns")).withColumnRenamed("evidence", "existing_indexes")
+    return {"matches": matches, "wanted": overlap.evidence_text(described, matches, O, details=F.col("details"))}
 
 
 @check("11_03", "index use")
